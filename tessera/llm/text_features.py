@@ -80,14 +80,14 @@ def quality_features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
 #: What a character stands for when a word is disguised, and words that address the reader.
 DISGUISE = str.maketrans("013457@$!|", "oieastasii")
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch euer sie tu te toi ton ta vous votre vos tú ti tus usted vosotros vuestro".split())
-STEM = 5
+STEMS = (4, 5)
 NEAR = 4
 _WORD = re.compile(r"[^\s]+")
 _EDGE = re.compile(r"^[^\w@$]+|[^\w@$]+$")
 _INSIDE = re.compile(r"[^\w]+|_+")
 _DISGUISED = re.compile(r"[0-9@$!|*.\-_]")
 
-TOXIC = ("hits", "any_hit", "log_hits", "strongest", "mean_weight", "stem_rate", "log_stems", "best_stem", "near_you", "you", "upper", "loud", "stop", "symbol", "disguised", "unmasked", "log_unmasked", "log_words", "top_rate")
+TOXIC = ("hits", "any_hit", "log_hits", "strongest", "mean_weight", "stem_rate", "log_stems", "best_stem", "near_you", "you", "upper", "loud", "stop", "symbol", "disguised", "unmasked", "log_unmasked", "log_words", "top_rate", "either_rate")
 
 
 def plain(word: str) -> str:
@@ -123,7 +123,7 @@ def toxicity_features(column: pa.Array, lexicon: dict[str, float], stems: dict[s
                     word = plain(key.decode("utf-8", "replace"))
                     masked = len(word) > 2 and _DISGUISED.search(word) is not None
                     bare = unmasked(word) if masked else word
-                    found = (lexicon.get(word, 0.0), stems.get(word[:STEM], 0.0), word in SECOND_PERSON, masked and any(c.isalpha() for c in word), 0.0 if not masked or word in lexicon else lexicon.get(bare, 0.0))
+                    found = (lexicon.get(word, 0.0), max(stems.get(word[:k], 0.0) for k in STEMS), word in SECOND_PERSON, masked and any(c.isalpha() for c in word), 0.0 if not masked or word in lexicon else lexicon.get(bare, 0.0))
                     if len(memo) < 200_000:
                         memo[key] = found
                 table[k] = found
@@ -143,6 +143,6 @@ def toxicity_features(column: pa.Array, lexicon: dict[str, float], stems: dict[s
             out = np.column_stack([
                 hits / many, hits > 0, np.log1p(hits), strongest, weight / many, stem_hits / many, np.log1p(stem_hits), best_stem, _rows_sum(row, near, n) / np.maximum(hits, 1), _rows_sum(row, v[:, 2], n) / many,
                 counts_by_row(_UPPER[data], offsets) / size, counts_by_row(_LOUD[data], offsets) / size, counts_by_row(_STOP[data], offsets) / size, counts_by_row(_SYMBOL[data], offsets) / size,
-                _rows_sum(row, v[:, 3], n) / many, un / many, np.log1p(un), np.log1p(count), weight / np.maximum(hits + un, 1),
+                _rows_sum(row, v[:, 3], n) / many, un / many, np.log1p(un), np.log1p(count), weight / np.maximum(hits + un, 1), _rows_sum(row, hit | (v[:, 1] > 0), n) / many,
             ]).astype(float)
         yield a, b, out

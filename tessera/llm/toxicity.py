@@ -5,8 +5,8 @@ lexicon words, capitals, punctuation, and disguised words whose plain form is in
 logistic loss over binned features; the raw scores are made probabilities by isotonic regression.
 
 Learnt from a bounded sample of at most ``sample`` labelled rows in the order of a hash of the id; half of them give
-the lexicon, a third the trees, a sixth the calibration, so that no part judges rows that it has learnt from. Lexica
-hold at most ``LEXICON`` entries. All documents are scored, whole, in one pass without a shuffle.
+the lexica, the others the trees, and the calibration uses scores of trees that haven't seen the row.
+Lexica hold at most ``LEXICON`` entries. All documents are scored, whole, in one pass without a shuffle.
 
 Defined results: null and empty texts have the features of an empty text; without both labels every score is the
 rate of label 1 (0 without labels); null labels and ids aren't learnt from; repeated rows are each scored.
@@ -14,6 +14,7 @@ rate of label 1 (0 without labels); null labels and ids aren't learnt from; repe
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import picked
-from .text_features import STEM, TOXIC, toxicity_features
+from .text_features import STEMS, TOXIC, toxicity_features
 
 TREES, DEPTH, RATE, BINS, LEAST, LEXICON = 80, 3, 0.15, 32, 5, 3000
 CUT = 0.7
@@ -123,8 +124,8 @@ class Model:
         return np.clip(np.interp(self.trees.raw(x), self.knots, self.values), 0, 1)
 
 
-def _lexicon(rows: DataFrame, stem: int | None, most: int = LEXICON) -> dict[str, float]:
-    """Words (or their first `stem` letters) that mark label 1: log odds whose z-score is over 2.5. rows: text, label."""
+def _lexicon(rows: DataFrame, stem: int | None = None, most: int = LEXICON) -> dict[str, float]:
+    """Words (or their first `stem` letters) that mark label 1: log odds whose z-score is beyond chance. rows: text, label."""
     word = F.regexp_replace(F.col("w"), r"^[^\p{L}\p{N}_@$]+|[^\p{L}\p{N}_@$]+$", "")
     if stem:
         word = F.substring(word, 1, stem)
@@ -134,8 +135,10 @@ def _lexicon(rows: DataFrame, stem: int | None, most: int = LEXICON) -> dict[str
     bad, good = total.get(1, 0), total.get(0, 0)
     df = each.groupBy("w").agg(F.sum(F.col("label").cast("double")).alias("t"), F.sum((1 - F.col("label")).cast("double")).alias("c")).where("t >= 3")
     df = df.withColumn("weight", F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("c") + 0.5) / (good + 1)))
-    df = df.withColumn("z", F.col("weight") / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))).where("z > 2.5 and weight > 1.5")
-    return {r["w"]: r["weight"] for r in df.orderBy(F.desc("z"), "w").limit(most).collect()}
+    df = df.withColumn("z", F.col("weight") / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5)))
+    # so many words are tried that the largest z of chance alone grows with the root of twice the log of their number
+    chance = math.sqrt(2 * math.log(max(df.count(), 2)))
+    return {r["w"]: r["weight"] for r in df.where((F.col("z") > max(2.5, chance - 0.5)) & (F.col("weight") > 1.5)).orderBy(F.desc("z"), "w").limit(most).collect()}
 
 
 def train(rows: DataFrame) -> Model:
@@ -143,7 +146,7 @@ def train(rows: DataFrame) -> Model:
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(6))
     rows = rows.withColumn("part", part)
     words = rows.where("part < 3")
-    lexicon, stems = _lexicon(words, None), _lexicon(words, STEM)
+    lexicon, stems = _lexicon(words), {k: v for n in STEMS for k, v in _lexicon(words, n).items()}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,11 +155,14 @@ def train(rows: DataFrame) -> Model:
 
     got = rows.where("part >= 3").select("text", "doc_id", "label", "part").mapInArrow(work, "doc_id long, label int, part long, x array<double>").toArrow().sort_by([("doc_id", "ascending")])
     x = np.array(got["x"].to_pylist(), dtype=float).reshape(got.num_rows, len(TOXIC))
-    y, last = got["label"].to_numpy().astype(float), got["part"].to_numpy() == 5
-    if not len(y) or y.min() == y.max() or not last.any() or last.all():
+    y, part = got["label"].to_numpy().astype(float), got["part"].to_numpy()
+    if not len(y) or y.min() == y.max():
         return Model(lexicon, stems, Trees(), np.zeros(min(len(y), 1)), np.full(min(len(y), 1), y.mean() if len(y) else 0.0))
-    trees = grow(x[~last], y[~last])
-    return Model(lexicon, stems, trees, *isotonic(trees.raw(x[last]), y[last]))
+    raw = np.zeros(len(y))
+    for k in (3, 4, 5):  # each row's score by trees that haven't seen it
+        if (part == k).any() and (part != k).any():
+            raw[part == k] = grow(x[part != k], y[part != k]).raw(x[part == k])
+    return Model(lexicon, stems, grow(x, y), *isotonic(raw, y))
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
