@@ -18,9 +18,9 @@ rows; the special tokens' strings within a text are ordinary text.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +28,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import picked
+from .textbytes import chunks, slice_hashes
 
 LENGTH, END, OPEN = 2048, 1, 4096
-MEMO = 400_000
-_CUT = re.compile(r"(?= \S)")
-_CLASH = re.compile(r" (?=\s|$)")
+#: Pieces that a worker remembers; beyond it, it starts anew.
+MEMO = 1_500_000
+
+
+#: Bytes that surely begin a character that isn't white space, so that a space before them begins a piece.
+_SOLID = np.zeros(256, bool)
+_SOLID[33:127] = _SOLID[0xC3:0xE1] = _SOLID[0xE4:0xF5] = True
 
 
 class Encoder:
-    """Ids of texts by a byte-level BPE file, remembering the ids of pieces between spaces.
+    """Ids of texts by a byte-level BPE file, remembering the ids of the pieces between spaces.
 
-    The pre-tokeniser always cuts before a single space that a non-space follows, so the pieces' ids are the text's.
+    The pre-tokeniser always cuts before a space that a character other than white space follows, so the ids of such
+    pieces are the text's. Pieces are told apart by 64-bit hashes; only those not met before reach the tokeniser.
     """
 
     def __init__(self, path: str) -> None:
@@ -47,27 +53,56 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        """The ids as unsigned little-endian 32-bit numbers."""
-        if not text:
-            return np.zeros(0, "<u4")
-        if _CLASH.search(text):
-            pieces = _CUT.split(text)
-        else:
-            first, *rest = text.split(" ")
-            pieces = ([first] if first else []) + [" " + x for x in rest]
-        memo = self.memo
-        found = [memo.get(x) for x in pieces]
-        if None in found:
-            new = list(dict.fromkeys(x for x, y in zip(pieces, found) if y is None))
-            ids = {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
-            if len(memo) + len(ids) > MEMO:
-                memo.clear()
-            memo.update((k, v) for k, v in ids.items() if len(k) < 64)
-            found = [ids[x] if y is None else y for x, y in zip(pieces, found)]
-        return np.frombuffer(b"".join(found), "<u4")
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.at, self.size, self.pool = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, "<u4")
+        self.used = 0
+
+    def _remember(self, hashes: list[int], texts: list[str]) -> None:
+        for h, e in zip(hashes, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids, k = e.ids, len(self.known)
+            if k == len(self.at):
+                self.at, self.size = np.concatenate([self.at, self.at]), np.concatenate([self.size, self.size])
+            while self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            self.known[h], self.at[k], self.size[k] = k, self.used, len(ids)
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+
+    def __call__(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        """(row, ids as unsigned little-endian 32-bit numbers) of each text."""
+        for a, b, data, offsets in chunks(column):
+            cut = np.zeros(len(data) + 1, bool)
+            cut[offsets] = True
+            cut[:-2] |= (data[:-1] == 32) & _SOLID[data[1:]]
+            bounds = np.flatnonzero(cut)
+            start, end = bounds[:-1], bounds[1:]
+            if not len(start):
+                yield from ((r, np.zeros(0, "<u4")) for r in range(a, b))
+                continue
+            kinds, first, inverse = np.unique(slice_hashes(data, start, end), return_index=True, return_inverse=True)
+            if len(self.known) > MEMO or self.used > 8 * MEMO:
+                self.forget()
+            keys, raw = kinds.tolist(), data.tobytes()
+            new = [i for i, h in enumerate(keys) if h not in self.known]
+            where = first[new]
+            self._remember([keys[i] for i in new], [raw[x:y].decode() for x, y in zip(start[where].tolist(), end[where].tolist())])
+            place = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[inverse]
+            size = self.size[place]
+            ends = np.cumsum(size)
+            ids = self.pool[np.repeat(self.at[place] - (ends - size), size) + np.arange(ends[-1])]
+            # ids before each row: those of the pieces before its first one
+            upto = np.concatenate([[0], ends])[np.searchsorted(start, offsets)]
+            for r in range(a, b):
+                yield r, ids[upto[r - a] : upto[r - a + 1]]
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
 
 
 class Packer:
@@ -124,7 +159,7 @@ class Packer:
         if size := total - whole:
             level = self.best(size)
             window = self._take(level) if level else []
-            window.append((row, whole, size, ids[whole:], total))
+            window.append((row, whole, size, ids[whole:].copy(), total))
             self._put(window, level + size)
             if self.count > self.most:
                 self.merge(self.most // 2)
@@ -183,7 +218,7 @@ def pack(docs: DataFrame, tokenizer: str | Callable[[], str], doc_id: str = "doc
     kind = rows.schema["doc_id"].dataType
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer() if callable(tokenizer) else tokenizer)
+        encode = encoder(tokenizer() if callable(tokenizer) else tokenizer)
         packer = Packer(length, TaskContext.get().partitionId() << 36)
         tail = np.array([end], "<u4")
         names: dict[int, object] = {}  # ids of rows that have pieces in open windows
@@ -201,9 +236,10 @@ def pack(docs: DataFrame, tokenizer: str | Callable[[], str], doc_id: str = "doc
         id_type = None
         for batch in batches:
             id_type = batch.column(1).type
-            for name, value in zip(batch.column(1).to_pylist(), batch.column(0)):
-                names[row] = name
-                packer.add(row, np.concatenate([encode(value.as_py() or ""), tail]))
+            id_list = batch.column(1).to_pylist()
+            for at, ids in encode(batch.column(0)):
+                names[row] = id_list[at]
+                packer.add(row, np.concatenate([ids, tail]))
                 row += 1
                 if len(packer.done) > 20_000:
                     yield out(packer.take_done())
