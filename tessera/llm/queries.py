@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("op9", "op10", "op3", "op5", "op7", "op4", "op2", "op1", "op6")
+MODULES = ("op9", "op10", "op3", "op5", "op7", "op4", "op2", "op1", "op6", "op8")
 QUERIES, ORACLE_SQL = {}, {}
 for _name in MODULES:
     _module = import_module(f"{__package__}.{_name}")
