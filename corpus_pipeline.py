@@ -1,9 +1,68 @@
-"""The corpus pipeline; stages are added as operators are done."""
+"""The corpus pipeline: language identification, line dedup, Jaccard join, decontamination and packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame, which is written
+as Parquet and read again as the next one's docs. All but the last return the columns of documents. Language profiles
+and packing can't be said in SQL, so ORACLE_SQL is None; tests hold the stages against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.common import saved, small
+from tessera.llm.decontaminate import decontaminate
+from tessera.llm.jaccard_join import groups
+from tessera.llm.language_id import UND, learn, predict, trained_on
+from tessera.llm.line_dedup import dedup_lines
+from tessera.llm.op7 import vocabulary
+from tessera.llm.packing import pack
+
+#: Documents whose best profile agrees less than this are in none of the languages.
+LEAST_SCORE = 0.15
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but those with these ids: the ids that go are few beside the texts that stay, and are sent out if a count shows it."""
+    return docs.join(small(saved(ids.where("doc_id is not null").distinct(), "gone-ids")), "doc_id", "left_anti").select(*docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or unlike every learnt language, go."""
+    rows = predict(docs, learn(trained_on(docs)), more=tuple(c for c in docs.columns if c not in ("doc_id", "lang_pred", "score")))
+    return rows.where((F.col("lang_pred") != UND) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of lines the first occurrence stays. Documents of which nothing is left go; n_chars follows the text."""
+    out = dedup_lines(docs)
+    out = out.where((F.col("n_removed") == 0) | (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0))
+    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near copies stays."""
+    found = groups(docs)
+    return _without(docs, found.where("doc_id != component_id").select("doc_id"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share a window with a benchmark item go."""
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.where("contaminated").select("doc_id"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, vocabulary)
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("jaccard_join", jaccard_join), ("decontamination", decontamination), ("packing", packing)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply the stages to documents."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
