@@ -36,6 +36,8 @@ def letters() -> np.ndarray:
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of the lower-cased letters, runs of all else taken as one space, and their counts."""
+    if not text:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     parts = []
     last = np.array([32], dtype=np.uint64)  # up to two codes that stand before the slice
     for at in range(0, len(text), SLICE):
@@ -118,7 +120,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], doc_id: str = "doc_
             langs, scores = [], []
             for value in batch.column(0):
                 value = value.as_py()
-                grams, counts = gram_counts(value) if value else (np.zeros(0, np.uint64),) * 2
+                grams, counts = gram_counts(value or "")
                 if not names or not len(grams) or (len(grams) == 1 and grams[0] == 32) or not (grams < (1 << 21)).any():
                     langs.append(UND)
                     scores.append(0.0)
