@@ -24,8 +24,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     now = saved(e.groupBy("a", "b").agg(F.lit(1).alias("one")).drop("one"), "edges")
-    state = None
-    for _ in range(MOST_ROUNDS if now.limit(1).count() else 0):
+    sums = F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))
+    state = now.agg(*sums).collect()[0]
+    for _ in range(MOST_ROUNDS if state[0] else 0):
         # large star: of the neighbours v of u, those over u are linked to the least of u and its neighbours
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
@@ -35,14 +36,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("least"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a != b").union(least)
         after = saved(small.groupBy("a", "b").agg(F.lit(1).alias("one")).drop("one"), "edges")
-        before, state = state, after.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).collect()[0]
+        before, state = state, after.agg(*sums).collect()[0]
         dropped(now)
         dropped(large)
         now = after
         if state == before:
             break
     else:
-        if state is not None:
+        if state[0]:
             raise RuntimeError("the components did not settle")
     # all edges now go from a node to its component's least
     leaves = now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component")
