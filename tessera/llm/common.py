@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows up to which a table of small fixed-width rows is broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 200_000
+#: Bytes of an Arrow batch, so that two workers with long texts fit beside a small executor's heap.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,5 +72,6 @@ def fold(id_col: str, mod: int) -> Column:
 
 
 def picked(df: DataFrame, names: dict[str, str]) -> DataFrame:
-    """Only the named columns, under new names: others can't clash."""
+    """Only the named columns, under new names: others can't clash. Python workers get them in batches of bounded size."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in names.items()])

@@ -88,7 +88,7 @@ def bigrams(docs: DataFrame, text: str = "text") -> DataFrame:
         if ws:
             yield out(*summed(np.concatenate(vs), np.concatenate(ws)))
 
-    rows = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(work, "v long, w long, n long")
+    rows = picked(docs, {"text": text}).mapInArrow(work, "v long, w long, n long")
     return saved(rows.groupBy("v", "w").agg(F.sum("n").alias("n")), "bigrams")
 
 

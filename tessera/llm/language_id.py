@@ -133,10 +133,14 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], doc_id: str = "doc_
                 k = int(apart.argmin())
                 langs.append(names[k])
                 scores.append(1.0 - float(apart[k]) / (profile * len(own)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
-
-    rows = picked(docs, {"_text": text, "doc_id": doc_id} | {c: c for c in more})
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+            first = 0 if text in more else 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[first:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*given, "lang_pred", "score"])
+
+    rows = picked(docs, {"_text": text, "doc_id": doc_id} | {c: c for c in more if c != text})
+    fields = [(f.name, f.dataType.simpleString()) for f in rows.schema.fields]
+    fields = [(text, fields[0][1]), *fields[1:]] if text in more else fields[1:]
+    given = [name for name, _ in fields]
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in fields)
     return rows.mapInArrow(work, f"{schema}, lang_pred string, score double")
 
 

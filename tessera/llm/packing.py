@@ -33,6 +33,8 @@ from .textbytes import chunks, slice_hashes
 LENGTH, END, OPEN = 2048, 1, 4096
 #: Pieces that a worker remembers; beyond it, it starts anew.
 MEMO = 1_500_000
+#: Pieces that are held by themselves until they are put in order among the others.
+FRESH = 100_000
 
 
 #: Bytes that surely begin a character that isn't white space, so that a space before them begins a piece.
@@ -56,21 +58,44 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        # hashes in order with the places of their ids, and those that are yet to be put among them
+        self.hashes, self.places, self.fresh = np.zeros(0, np.uint64), np.zeros(0, np.int64), {}
+        self.count = 0
         self.at, self.size, self.pool = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, "<u4")
         self.used = 0
 
     def _remember(self, hashes: list[int], texts: list[str]) -> None:
         for h, e in zip(hashes, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids, k = e.ids, len(self.known)
+            ids, k = e.ids, self.count
             if k == len(self.at):
                 self.at, self.size = np.concatenate([self.at, self.at]), np.concatenate([self.size, self.size])
             while self.used + len(ids) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.known[h], self.at[k], self.size[k] = k, self.used, len(ids)
+            self.fresh[h], self.at[k], self.size[k] = k, self.used, len(ids)
+            self.count += 1
             self.pool[self.used : self.used + len(ids)] = ids
             self.used += len(ids)
 
+    def _places(self, kinds: np.ndarray, first: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Where the ids of each distinct piece are; new pieces are encoded."""
+        if len(self.fresh) > FRESH:
+            h, k = np.fromiter(self.fresh, np.uint64, len(self.fresh)), np.fromiter(self.fresh.values(), np.int64, len(self.fresh))
+            order = np.argsort(h)
+            to = np.searchsorted(self.hashes, h[order])
+            self.hashes, self.places, self.fresh = np.insert(self.hashes, to, h[order]), np.insert(self.places, to, k[order]), {}
+        out = np.empty(len(kinds), np.int64)
+        hit = np.zeros(len(kinds), bool)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, kinds), len(self.hashes) - 1)
+            hit = self.hashes[at] == kinds
+            out[hit] = self.places[at[hit]]
+        rest = np.flatnonzero(~hit)
+        keys, raw = kinds[rest].tolist(), data.tobytes()
+        new = [(h, i) for h, i in zip(keys, first[rest].tolist()) if h not in self.fresh]
+        self._remember([h for h, _ in new], [raw[start[i] : end[i]].decode() for _, i in new])
+        out[rest] = [self.fresh[h] for h in keys]
+        return out
+
     def __call__(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         """(row, ids as unsigned little-endian 32-bit numbers) of each text."""
         for a, b, data, offsets in chunks(column):
@@ -83,13 +108,9 @@ class Encoder:
                 yield from ((r, np.zeros(0, "<u4")) for r in range(a, b))
                 continue
             kinds, first, inverse = np.unique(slice_hashes(data, start, end), return_index=True, return_inverse=True)
-            if len(self.known) > MEMO or self.used > 8 * MEMO:
+            if self.count > MEMO or self.used > 8 * MEMO:
                 self.forget()
-            keys, raw = kinds.tolist(), data.tobytes()
-            new = [i for i, h in enumerate(keys) if h not in self.known]
-            where = first[new]
-            self._remember([keys[i] for i in new], [raw[x:y].decode() for x, y in zip(start[where].tolist(), end[where].tolist())])
-            place = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[inverse]
+            place = self._places(kinds, first, start, end, data)[inverse]
             size = self.size[place]
             ends = np.cumsum(size)
             ids = self.pool[np.repeat(self.at[place] - (ends - size), size) + np.arange(ends[-1])]
