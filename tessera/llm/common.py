@@ -62,8 +62,8 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def lower_ascii(c: Column) -> Column:
-    """A-Z lower-cased, all else as it is."""
-    return F.translate(c, UPPER, UPPER.lower())
+    """A-Z lower-cased, all else as it is. lower() does the same, and faster, where all is ASCII."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
 
 
 def fold(id_col: str, mod: int) -> Column:

@@ -35,17 +35,19 @@ from .components import components
 
 EDITS, LEAST, CROWD = 2, 20, 64
 LAST = (1 << 63) - 1
+#: Ids up to which a table of single numbers is broadcast.
+IDS = 1_000_000
 
 
-def bare(line: Column) -> Column:
-    return lower_ascii(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
+def trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\n\x0b\f\r"))
 
 
-def segments(size: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start from 1, length) of each of edits + 1 segments of a line of this size: as even as can be, the longer ones last."""
+def segment(size: Column, i: Column, edits: int) -> tuple[Column, Column]:
+    """(start from 1, length) of the i-th of edits + 1 segments of a line of this size: as even as can be, the longer ones last."""
     k = edits + 1
-    base, more = F.floor(size / k).cast("int"), (size % k).cast("int")
-    return [(base * i + F.greatest(F.lit(0), F.lit(i - k) + more) + 1, base + (F.lit(i - k) + more >= 0).cast("int")) for i in range(k)]
+    base, over = F.floor(size / k).cast("int"), i - k + size % k
+    return base * i + F.greatest(F.lit(0), over) + 1, base + (over >= 0).cast("int")
 
 
 def places(edits: int) -> list[tuple[int, int, int]]:
@@ -58,13 +60,17 @@ def places(edits: int) -> list[tuple[int, int, int]]:
 
 
 def keys(distinct: DataFrame, edits: int) -> DataFrame:
-    """key, id, indexed: of each distinct line (id, line, size) the probes; a line's own segments are also its index."""
-    out = []
-    for d, i, s in places(edits):
-        start, length = segments(F.col("size") - d, edits)[i]
-        inside = (start + s >= 1) & (start + s + length - 1 <= F.col("size")) & (F.col("size") - d > edits)
-        out.append(F.when(inside, F.struct(F.xxhash64(F.col("size") - d, F.lit(i), F.col("line").substr(start + s, length)).alias("key"), F.lit(d == 0 and s == 0).alias("indexed"))))
-    return distinct.select("id", F.explode_outer(F.array(*out)).alias("k")).where("k is not null").select("id", "k.key", "k.indexed")
+    """key, id, indexed: of each distinct line (id, line, size) the probes; a line's own segments are also its index.
+
+    One small expression for all places, over rows of a constant array: a sum of all written out would be too long to be compiled.
+    """
+    at = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for d, i, s in places(edits)])
+    rows = distinct.select("id", "line", "size", F.explode(at).alias("at")).select("id", "line", "size", (F.col("size") - F.col("at.d")).alias("of"), F.col("at.i").alias("i"), F.col("at.s").alias("s"))
+    start, length = segment(F.col("of"), F.col("i"), edits)
+    rows = rows.select("id", "line", "size", "of", "i", "s", start.alias("start"), length.alias("length"))
+    first = F.col("start") + F.col("s")
+    rows = rows.where((first >= 1) & (first + F.col("length") - 1 <= F.col("size")) & (F.col("of") > edits))
+    return rows.select("id", F.xxhash64("of", "i", F.col("line").substr(first, F.col("length"))).alias("key"), ((F.col("of") == F.col("size")) & (F.col("s") == 0)).alias("indexed"))
 
 
 def within(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
@@ -117,12 +123,15 @@ def links(distinct: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFr
     k = k.select("key", "id", "indexed", F.min("id").over(w).alias("pivot"), F.max("id").over(w).alias("last"), F.count("*").over(w).alias("c"))
     k = saved(k.where("pivot != last").drop("last"), "keys")
     few, many = k.where(F.col("c") <= crowd), k.where(F.col("c") > crowd).select("key", "id", "indexed", "pivot")
-    text = distinct.select("id", "line")
 
     def pair(df: DataFrame) -> DataFrame:
         return df.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).groupBy("a", "b").agg(F.lit(1).alias("one")).drop("one")
 
     def verified(df: DataFrame) -> DataFrame:
+        # the lines that pairs name, picked by their ids alone: sent out if a count shows that they are few
+        df = saved(df, "candidates")
+        named = small(saved(df.select(F.col("a").alias("id")).union(df.select("b")).groupBy("id").agg(F.lit(1).alias("one")).select("id"), "named"), IDS)
+        text = saved(distinct.select("id", "line").join(named, "id", "left_semi"), "texts")
         both = df.join(text.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(text.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
         return within(both, "line_a", "line_b", edits).where("linked").select("a", "b")
 
@@ -131,7 +140,9 @@ def links(distinct: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFr
     out = verified(pair(met.select("x", "y")))
     if many.limit(1).count():
         near = out.union(out.select("b", "a")).toDF("pivot", "id").withColumn("near", F.lit(True))
-        crowd_rows = many.where("id != pivot").join(near, ["pivot", "id"], "left").join(text, "id").withColumn("near", F.coalesce("near", F.lit(False)))
+        crowd = many.where("id != pivot")
+        named = small(saved(crowd.groupBy("id").agg(F.lit(1).alias("one")).select("id"), "named"), IDS)
+        crowd_rows = crowd.join(near, ["pivot", "id"], "left").join(distinct.select("id", "line").join(named, "id", "left_semi"), "id").withColumn("near", F.coalesce("near", F.lit(False)))
         crowd_rows = saved(crowd_rows, "crowds")
         x, y = crowd_rows.where("not near").alias("x"), crowd_rows.alias("y")
         close = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & (F.col("x.indexed") | F.col("y.indexed"))
@@ -145,7 +156,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edi
     d = docs.withColumn("_row", F.xxhash64(F.col(f"`{text}`")))
     each = picked(d, {"doc_id": doc_id, "row": "_row", "text": text}).where("text is not null")
     each = each.select(F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("doc_id"), "row", F.posexplode_outer(F.split("text", "\n", -1)).alias("at", "line"))
-    each = each.withColumn("line", bare(F.col("line"))).where(F.length("line") >= least)
+    # lower-casing keeps the length: tested before it, lines are lower-cased once
+    each = each.where(F.length(trimmed(F.col("line"))) >= least).withColumn("line", lower_ascii(trimmed(F.col("line"))))
     at = F.struct("doc_id", "row", "at")
     found = each.withColumn("id", F.xxhash64("line")).groupBy("id").agg(F.min(at).alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
     found = saved(found.withColumn("size", F.length("line")), "lines")
