@@ -34,8 +34,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of lines the first occurrence stays. Documents of which nothing is left go; n_chars follows the text."""
-    out = dedup_lines(docs)
+    """Of each class of lines, short ones' exact copies among them, the first occurrence stays. Documents of which nothing is left go; n_chars follows the text."""
+    out = dedup_lines(docs, short=True)
     out = out.where((F.col("n_removed") == 0) | (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 

@@ -17,9 +17,10 @@ compared with all of it within the join, which gives only what is linked. No lin
 Classes are the connected lines. The occurrence that comes first (least doc_id, then line number) stays; all others
 of the class go. Exact copies are one line from the start, by partial sums before the shuffle.
 
-Lines are compared without white space at their ends and with A-Z lower-cased. Defined results: lines shorter than
-``LEAST`` characters after that (empty ones among them) are neither linked nor removed; a null text has no lines and
-stays null; a text all of whose lines go becomes empty; rows that repeat an id and a text are one occurrence and are
+Lines are compared without white space at their ends and with A-Z lower-cased. Lines shorter than ``LEAST`` characters
+after that are never linked by edits, of which two are too loose for them; with ``short`` their exact copies are classes
+like those of longer lines, without it they are left alone. Defined results: empty lines are neither linked nor removed;
+a null text has no lines and stays null; a text all of whose lines go becomes empty; rows that repeat an id and a text are one occurrence and are
 treated alike, rows that share only an id are told apart by their texts; a null id comes after all others; empty tables
 give no rows.
 """
@@ -151,17 +152,17 @@ def links(distinct: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFr
     return out
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """All rows and columns of docs with the text's later lines of each class taken out, and n_lines, n_removed (unless docs has them)."""
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, short: bool = False) -> DataFrame:
+    """All rows and columns of docs with the text's later lines of each class taken out, and n_lines, n_removed (unless docs has them). short: exact copies of lines under `least` go too."""
     d = docs.withColumn("_row", F.xxhash64(F.col(f"`{text}`")))
     each = picked(d, {"doc_id": doc_id, "row": "_row", "text": text}).where("text is not null")
     each = each.select(F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("doc_id"), "row", F.posexplode_outer(F.split("text", "\n", -1)).alias("at", "line"))
     # lower-casing keeps the length: tested before it, lines are lower-cased once
-    each = each.where(F.length(trimmed(F.col("line"))) >= least).withColumn("line", lower_ascii(trimmed(F.col("line"))))
+    each = each.where(F.length(trimmed(F.col("line"))) >= (1 if short else least)).withColumn("line", lower_ascii(trimmed(F.col("line"))))
     at = F.struct("doc_id", "row", "at")
     found = each.withColumn("id", F.xxhash64("line")).groupBy("id").agg(F.min(at).alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
     found = saved(found.withColumn("size", F.length("line")), "lines")
-    comp = components(links(found.select("id", "line", "size"), edits))
+    comp = components(links(found.where(F.col("size") >= least).select("id", "line", "size"), edits))
     classes = found.select("id", "first", "n").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     classes = saved(classes, "classes")
     stays = classes.groupBy("component").agg(F.min("first").alias("stays"), F.sum("n").alias("all")).where(F.col("all") > 1)

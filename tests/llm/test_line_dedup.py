@@ -105,3 +105,10 @@ def test_edge_cases(spark):
     got = sorted((r["doc_id"] or 0, r["text"], r["n_removed"]) for r in out.collect())
     kept = [g for g in got if g[1]]
     assert got[0] == (0, "", 1) and len(kept) in (1, 2) and len({g[1] for g in kept}) == 1
+
+
+def test_exact_copies_of_short_lines(spark):
+    rows = [(1, "And ornd.\na line that is long enough here\n\nx"), (2, " and ORND.\nAnd orne.\n\na line that is long enough hers"), (3, "And ornd.\nx\n"), (4, None)]
+    out = ld.dedup_lines(spark.createDataFrame([(k, t, None, "x", "y") for k, t in rows], DOC).drop("n_lines"), short=True)
+    got = sorted((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in out.collect())
+    assert got == [(1, rows[0][1], 4, 0), (2, "And orne.\n", 4, 2), (3, "", 3, 2), (4, None, 0, 0)]

@@ -56,3 +56,9 @@ def test_stages(spark, tmp_path):
         docs = out
     ran = cp.run(spark, at)
     assert sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in ran.collect()) and ran.count() == docs.count()
+
+
+def test_line_dedup_takes_copies_of_short_lines(spark):
+    rows = [(1, "And ornd.\nthe first document", "en", "s", 28), (2, "And ornd.\nthe second one", "en", "s", 24)]
+    out = cp.line_dedup(spark, spark.createDataFrame(rows, DOC), "")
+    assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()) == [(1, rows[0][1], 28), (2, "the second one", 14)]
