@@ -10,7 +10,9 @@ is dealt out as pairs of blocks, each one task's work of bounded size, so that a
 compared whole. Blocks hand on sums of links and a spanning forest, not pairs.
 
 Links are exact where found; recall is measured in the tests against brute force. Pairs of codes that meet in no table
-are not found: at the threshold's angle of 18 degrees a bit differs with probability 0.1.
+are not found: at the threshold's angle of 18 degrees a bit differs with probability 0.1 if the mean is zero. Signs are
+taken of the vectors less their mean, which widens the angle where they have a common direction; so the probability is
+taken from each vector of the sample, and there are as many tables as that needs.
 
 Defined results: null vectors, zero vectors and vectors with null or non-finite components have no links, and each is
 its own component; vectors of different lengths link with nothing of another length; rows that share an id are one
@@ -55,11 +57,38 @@ def learn_rotations(x: np.ndarray, bits: int, count: int, rounds: int = ROUNDS,
     return mean, np.concatenate(out, axis=1)
 
 
-def tables_for(classes: int, angle_bit: float = math.acos(THRESHOLD) / math.pi) -> tuple[int, int]:
-    """(bits to a key, tables): keys long enough for small buckets, tables enough that a pair at the threshold is missed once in a hundred times."""
+def flips(x: np.ndarray, mean: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """The probability that a bit differs between each unit vector and one at the threshold from it, both less the mean.
+
+    The other vector is off in a direction at right angles to the vector and the mean, as most are in many dimensions.
+    """
+    along, size = x @ mean, mean @ mean
+    norms = np.sqrt(np.maximum(1 + size - 2 * along, 0) * np.maximum(1 + size - 2 * threshold * along, 0))
+    cosine = (threshold - (1 + threshold) * along + size) / np.maximum(norms, 1e-12)
+    return np.arccos(np.clip(np.where(norms > 1e-9, cosine, 0), 0, 1)) / math.pi
+
+
+def tables_for(classes: int, flip: float | np.ndarray = math.acos(THRESHOLD) / math.pi) -> tuple[int, int]:
+    """(bits to a key, tables): keys long enough for small buckets, tables enough that a pair at the threshold is missed once in a hundred times.
+
+    Where bits differ so often that this needs many tables, keys are shorter if larger buckets are less work than the tables.
+    """
+    miss = lambda bits: 1 - (1 - np.atleast_1d(flip)) ** bits
+
+    def tables(bits: int) -> int:
+        few, many = 0, 1
+        while (miss(bits) ** many).mean() > 0.01:
+            few, many = many, 2 * many
+        while many - few > 1:
+            half = (few + many) // 2
+            few, many = (half, many) if (miss(bits) ** half).mean() > 0.01 else (few, half)
+        return many
+
     bits = min(max(8, math.ceil(math.log2(max(classes, 1) / BUCKET + 1))), 30)
-    meet = (1 - angle_bit) ** bits
-    return bits, math.ceil(math.log(0.01) / math.log(1 - meet))
+    plain = math.log(0.01) / math.log(1 - (1 - math.acos(THRESHOLD) / math.pi) ** bits)
+    if tables(bits) > 4 * plain:
+        bits = min(range(1, bits + 1), key=lambda k: tables(k) * (BUCKET + classes / 2**k))
+    return bits, tables(bits)
 
 
 def link_counts(vectors: np.ndarray, keys: np.ndarray, weight: np.ndarray, table: int, threshold: float, left: np.ndarray | None = None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
@@ -100,7 +129,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         x = np.array(got["embedding"].to_pylist(), dtype=float).reshape(-1, dim)
         x /= np.abs(x).max(axis=1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        bits, tables = tables_for(many)
+        bits, tables = tables_for(many, flips(x, x.mean(axis=0), threshold))
         per = max(1, dim // bits) if dim >= bits else 1
         mean, rotation = learn_rotations(x, dim, math.ceil(tables * bits / max(dim, 1)) if dim < bits else math.ceil(tables / per))
         powers = 1 << np.arange(bits, dtype=np.int64)

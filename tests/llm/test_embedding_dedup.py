@@ -53,3 +53,20 @@ def test_matches_all_pairs(spark, block):
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], VEC)).count() == 0
     assert [tuple(r) for r in near_duplicates(spark.createDataFrame([(3, None, "", 0)], VEC)).collect()] == [(3, 0, 3, True)]
+
+
+def test_recall_with_a_common_mean(spark):
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = rng.standard_normal((1500, 64))
+    x[:, 0] += 16
+    x = unit(x)
+    off = rng.standard_normal(x.shape)
+    off = unit(off - (off * x).sum(axis=1, keepdims=True) * x)
+    both = np.concatenate([x, 0.951 * x + math.sqrt(1 - 0.951**2) * off])
+    assert np.linalg.norm(both.mean(axis=0)) > 0.85
+    rows = [(i, v.tolist(), "", 0) for i, v in enumerate(both)]
+    got = near_duplicates(spark.createDataFrame(rows, VEC)).collect()
+    exact = unit(both.astype(np.float32).astype(float))
+    want = int((exact @ exact.T >= 0.95).sum()) - len(both)
+    assert 0.97 * want <= sum(r["n_links"] for r in got) <= want
