@@ -61,9 +61,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Characters beyond ASCII that lower() might change: upper and title case, and those that Java does not know yet.
+CASED = r"[[\p{IsUppercase}\p{Lt}\p{Cn}]&&[^\x00-\x7F]]"
+
+
 def lower_ascii(c: Column) -> Column:
-    """A-Z lower-cased, all else as it is. lower() does the same, and faster, where all is ASCII."""
-    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
+    """A-Z lower-cased, all else as it is. lower() does the same, and faster, where nothing else has a case to change."""
+    return F.when(c.rlike(CASED), F.translate(c, UPPER, UPPER.lower())).otherwise(F.lower(c))
 
 
 def fold(id_col: str, mod: int) -> Column:

@@ -52,3 +52,21 @@ def test_empty_tables_and_repeats(spark):
     one = spark.createDataFrame([(7, "b c", ""), (7, "B, c", "")], ITEM)
     assert sorted((r["n_words"], r["n_hit"], r["n_items"]) for r in decontaminate(docs, one).collect()) == [(1, 0, 0), (3, 2, 1), (3, 2, 1), (3, 2, 1)]
     assert decontaminate(spark.createDataFrame([], DOC), one).count() == 0
+
+
+def test_item_without_id(spark):
+    docs = spark.createDataFrame([(1, "a b c", 0, 0)], DOC)
+    got = decontaminate(docs, spark.createDataFrame([(None, "b c", "")], ITEM)).collect()[0]
+    assert (got["n_hit"], got["n_items"], got["contaminated"], got["items_sha256"]) == (2, 0, True, hashlib.sha256(b"").hexdigest())
+
+
+def test_only_ascii_is_lowered(spark):
+    """Every character, alone and after a letter: A-Z become a-z and nothing else changes."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm.common import lower_ascii
+
+    points = [*range(1, 0xD800), *range(0xE000, 0x110000)]
+    texts = ["A" + chr(c) + "B" for c in points]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(4).select("t", lower_ascii(F.col("t")).alias("low")).where(F.col("low") != F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    assert got.limit(5).collect() == []
