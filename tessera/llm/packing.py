@@ -21,6 +21,7 @@ import os
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,98 +29,154 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import picked
-from .textbytes import chunks, slice_hashes
+from .textbytes import chunks, eights, equal_slices, slice_hashes
 
 LENGTH, END, OPEN = 2048, 1, 4096
-#: Pieces that a worker remembers; beyond it, it starts anew.
-MEMO = 1_500_000
-#: Pieces that are held by themselves until they are put in order among the others.
-FRESH = 100_000
+#: Pieces that a worker remembers; beyond it, or 8 ids or 16 bytes to a piece, it starts anew.
+MEMO = 750_000
+#: Pieces that are held by themselves until they are put in order among the others, and bytes of text that are worked on at once.
+FRESH, PART = 50_000, 1 << 19
+#: Pieces that the tokeniser gets at once.
+ENCODED = 2048
 
 
 #: Bytes that surely begin a character that isn't white space, so that a space before them begins a piece.
 _SOLID = np.zeros(256, bool)
 _SOLID[33:127] = _SOLID[0xC3:0xE1] = _SOLID[0xE4:0xF5] = True
+#: Letters, and marks that no piece has behind one; an apostrophe may begin a contraction.
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK[[ord(c) for c in ".,;:!?()\""]] = True
+
+
+def piece_bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places at which the pre-tokeniser surely cuts, those between texts among them."""
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = _LETTER[data[:-1]] & _MARK[data[1:]]
+    solid = _SOLID[data]
+    cut[:-2] |= (data[:-1] == 32) & solid[1:]
+    line = np.flatnonzero((data[1:-1] == 10) & solid[:-2] & solid[2:]) + 1
+    cut[line] = cut[line + 1] = True
+    cut[offsets] = True
+    return np.flatnonzero(cut)
 
 
 class Encoder:
     """Ids of texts by a byte-level BPE file, remembering the ids of the pieces between spaces.
 
-    The pre-tokeniser always cuts before a space that a character other than white space follows, so the ids of such
-    pieces are the text's. Pieces are told apart by 64-bit hashes; only those not met before reach the tokeniser.
+    The byte-level pre-tokeniser always cuts before a space that a character other than white space follows, between a
+    letter and a mark, and on both sides of a line's end that has such characters on both; so the ids of such pieces are
+    the text's. Pieces are found by 64-bit hashes and then compared by their bytes, so that two pieces of one
+    hash have each their own ids; only those not met before reach the tokeniser.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = MEMO) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.most = most
         self.forget()
 
     def forget(self) -> None:
-        # hashes in order with the places of their ids, and those that are yet to be put among them
-        self.hashes, self.places, self.fresh = np.zeros(0, np.uint64), np.zeros(0, np.int64), {}
-        self.count = 0
-        self.at, self.size, self.pool = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, "<u4")
-        self.used = 0
-
-    def _remember(self, hashes: list[int], texts: list[str]) -> None:
-        for h, e in zip(hashes, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids, k = e.ids, self.count
-            if k == len(self.at):
-                self.at, self.size = np.concatenate([self.at, self.at]), np.concatenate([self.size, self.size])
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.fresh[h], self.at[k], self.size[k] = k, self.used, len(ids)
-            self.count += 1
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-
-    def _places(self, kinds: np.ndarray, first: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> np.ndarray:
-        """Where the ids of each distinct piece are; new pieces are encoded."""
+        # hashes in order with their pieces' numbers, and those that are yet to be put among them
+        self.hashes, self.kinds, self.fresh = np.zeros(0, np.uint64), np.zeros(0, np.int32), {}
+        # of each piece: where its ids and bytes begin; the last entry is the next piece's
+        self.ids, self.texts = Pool(np.dtype("<u4")), Pool(np.dtype(np.uint8))
+
+    def _encoded(self, raw: list[bytes]) -> int:
+        """Puts pieces into the pools; the number of the first one."""
+        first = self.ids.count
+        for at in range(0, len(raw), ENCODED):
+            texts = raw[at : at + ENCODED]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+            sizes = [len(x) for x in ids]
+            self.ids.add(np.fromiter(chain.from_iterable(ids), "<u4", sum(sizes)), sizes)
+            self.texts.add(np.frombuffer(b"".join(texts), np.uint8), [len(t) for t in texts])
+        return first
+
+    def _numbers(self, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """The piece's number of each distinct hash, of which data[start:end] is a piece; those not met before are encoded."""
         if len(self.fresh) > FRESH:
-            h, k = np.fromiter(self.fresh, np.uint64, len(self.fresh)), np.fromiter(self.fresh.values(), np.int64, len(self.fresh))
+            h, k = np.fromiter(self.fresh, np.uint64, len(self.fresh)), np.fromiter(self.fresh.values(), np.int32, len(self.fresh))
             order = np.argsort(h)
             to = np.searchsorted(self.hashes, h[order])
-            self.hashes, self.places, self.fresh = np.insert(self.hashes, to, h[order]), np.insert(self.places, to, k[order]), {}
-        out = np.empty(len(kinds), np.int64)
-        hit = np.zeros(len(kinds), bool)
+            self.hashes, self.kinds, self.fresh = np.insert(self.hashes, to, h[order]), np.insert(self.kinds, to, k[order]), {}
+        out = np.full(len(hashes), -1, np.int64)
         if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, kinds), len(self.hashes) - 1)
-            hit = self.hashes[at] == kinds
-            out[hit] = self.places[at[hit]]
-        rest = np.flatnonzero(~hit)
-        keys, raw = kinds[rest].tolist(), data.tobytes()
-        new = [(h, i) for h, i in zip(keys, first[rest].tolist()) if h not in self.fresh]
-        self._remember([h for h, _ in new], [raw[start[i] : end[i]].decode() for _, i in new])
-        out[rest] = [self.fresh[h] for h in keys]
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            hit = self.hashes[at] == hashes
+            out[hit] = self.kinds[at[hit]]
+        rest = np.flatnonzero(out < 0)
+        keys = hashes[rest].tolist()
+        out[rest] = [self.fresh.get(h, -1) for h in keys]
+        rest = rest[out[rest] < 0]
+        first = self._encoded([data[start[i] : end[i]].tobytes() for i in rest.tolist()])
+        out[rest] = np.arange(first, first + len(rest))
+        self.fresh.update(zip(hashes[rest].tolist(), out[rest].tolist()))
+        return out
+
+    def numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each piece data[start:end] in the pools."""
+        hashes, first, inverse = np.unique(slice_hashes(data, start, end), return_index=True, return_inverse=True)
+        if self.ids.count > self.most or self.ids.used > 8 * self.most or self.texts.used > 16 * self.most:
+            self.forget()
+        out = self._numbers(hashes, start[first], end[first], data)[inverse]
+        # a piece that isn't the one remembered by its hash is encoded by itself
+        size, known = end - start, self.texts.sizes(out)
+        same = (known == size) & equal_slices(eights(data), start, self.texts.eights(), self.texts.starts(out), np.minimum(size, known))
+        other = np.flatnonzero(~same)
+        if len(other):
+            out[other] = self._encoded([data[start[i] : end[i]].tobytes() for i in other.tolist()]) + np.arange(len(other))
         return out
 
     def __call__(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         """(row, ids as unsigned little-endian 32-bit numbers) of each text."""
-        for a, b, data, offsets in chunks(column):
-            cut = np.zeros(len(data) + 1, bool)
-            cut[offsets] = True
-            cut[:-2] |= (data[:-1] == 32) & _SOLID[data[1:]]
-            bounds = np.flatnonzero(cut)
+        for a, b, data, offsets in chunks(column, PART):
+            bounds = piece_bounds(data, offsets)
             start, end = bounds[:-1], bounds[1:]
             if not len(start):
                 yield from ((r, np.zeros(0, "<u4")) for r in range(a, b))
                 continue
-            kinds, first, inverse = np.unique(slice_hashes(data, start, end), return_index=True, return_inverse=True)
-            if self.count > MEMO or self.used > 8 * MEMO:
-                self.forget()
-            place = self._places(kinds, first, start, end, data)[inverse]
-            size = self.size[place]
+            piece = self.numbers(data, start, end)
+            size = self.ids.sizes(piece)
             ends = np.cumsum(size)
-            ids = self.pool[np.repeat(self.at[place] - (ends - size), size) + np.arange(ends[-1])]
+            ids = self.ids.data[np.repeat(self.ids.starts(piece) - (ends - size), size) + np.arange(ends[-1])]
             # ids before each row: those of the pieces before its first one
             upto = np.concatenate([[0], ends])[np.searchsorted(start, offsets)]
             for r in range(a, b):
                 yield r, ids[upto[r - a] : upto[r - a + 1]]
 
 
+class Pool:
+    """Numbered arrays, one after the other in one that grows."""
+
+    def __init__(self, kind: np.dtype) -> None:
+        self.data, self.bounds, self.count, self.used = np.zeros(1 << 16, kind), np.zeros(1 << 14, np.int64), 0, 0
+
+    def add(self, values: np.ndarray, sizes: list[int]) -> None:
+        """Puts in arrays of these sizes, whose values follow each other."""
+        while self.count + len(sizes) >= len(self.bounds):
+            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
+        if self.used + len(values) + 8 > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros(max(len(self.data) // 2, len(values) + 8), self.data.dtype)])
+        self.data[self.used : self.used + len(values)] = values
+        self.bounds[self.count + 1 : self.count + 1 + len(sizes)] = self.used + np.cumsum(sizes)
+        self.used += len(values)
+        self.count += len(sizes)
+
+    def starts(self, numbers: np.ndarray) -> np.ndarray:
+        return self.bounds[numbers]
+
+    def sizes(self, numbers: np.ndarray) -> np.ndarray:
+        return self.bounds[numbers + 1] - self.bounds[numbers]
+
+    def eights(self) -> np.ndarray:
+        """Of bytes, as textbytes.eights: at least eight more follow the last one."""
+        return np.ndarray(self.used + 1, "<u8", self.data, strides=(1,))
+
+
 @cache
 def encoder(path: str) -> Encoder:
     """One for all tasks of a worker."""

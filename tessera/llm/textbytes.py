@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,6 @@ LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, *range(9, 14)]] = True
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,25 +24,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-
-
-class Powers:
-    """Powers of an odd base and of its inverse, modulo 2**64, for hashes of slices from prefix sums."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, CHUNK)
-            with np.errstate(over="ignore"):
-                self.up = np.concatenate([[np.uint64(1)], np.full(n, _BASE, dtype=np.uint64)]).cumprod()
-                self.down = np.concatenate([[np.uint64(1)], np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64)]).cumprod()
-        return self.up, self.down
-
-
-POWERS = Powers()
+#: The low n bytes of a number of eight, for n from 0 to 8; bytes from which a slice is hashed by itself.
+LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+LONG = 64
 
 
 def chunks(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -78,14 +62,40 @@ def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> t
     return start, end, row
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, as one number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
 def slice_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end], the same wherever the slice stands."""
+    """A 64-bit hash of each data[start:end], the same wherever the slice stands.
+
+    Eight bytes at a time are put in and mixed; what is longer than LONG bytes is hashed by BLAKE2.
+    """
+    at, size = eights(data), end - start
     with np.errstate(over="ignore"):
-        up, down = POWERS.upto(len(data) + 1)
-        sums = np.empty(len(data) + 1, dtype=np.uint64)
-        sums[0] = 0
-        np.cumsum(BYTE_CODE[data] * up[: len(data)], out=sums[1:])
-        return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * M1)
+        out = mix(mix((size.astype(np.uint64) + np.uint64(1)) * M1) ^ (at[start] & LOW[np.minimum(size, 8)]))
+        live = np.flatnonzero((size > 8) & (size <= LONG))
+        for k in range(8, LONG, 8):
+            if not len(live):
+                break
+            out[live] = mix(out[live] ^ (at[start[live] + k] & LOW[np.minimum(size[live] - k, 8)]))
+            live = live[size[live] > k + 8]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def equal_slices(a: np.ndarray, start: np.ndarray, b: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the `size` bytes from `start` are the same as those from `other`; a and b are the eights of two arrays of bytes."""
+    out = ((a[start] ^ b[other]) & LOW[np.minimum(size, 8)]) == 0
+    live, k = np.flatnonzero(out & (size > 8)), 8
+    while len(live):
+        out[live] = ((a[start[live] + k] ^ b[other[live] + k]) & LOW[np.minimum(size[live] - k, 8)]) == 0
+        k += 8
+        live = live[out[live] & (size[live] > k)]
+    return out
 
 
 def counts_by_row(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
