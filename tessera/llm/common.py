@@ -3,23 +3,32 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Rows up to which a table of small fixed-width rows is broadcast; beyond it, joins shuffle.
+#: Rows up to which a table is broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 200_000
+#: Bytes up to which it is broadcast.
+BROADCAST_BYTES = 64 << 20
+#: Bytes of a row group of an intermediate table, which a writer holds.
+GROUP_BYTES = 16 << 20
 #: Bytes of an Arrow batch, so that two workers with long texts fit beside a small executor's heap.
 BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where that is unset, a local master gets one of its own; a cluster has none that all of it sees, so that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), f"tessera-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -39,11 +48,16 @@ def local_path(uri: str) -> str:
     return uri
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage, survives lost executors."""
+def saved(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it again: cuts the lineage, survives lost executors.
+
+    release: df's shuffle files, which nobody needs any more, go at once and not when the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+    if release:
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,13 +70,42 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _bytes(field: StructField) -> Column:
+    """About the bytes of a column's value in a row."""
+    c, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        one = F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 16) if isinstance(kind.elementType, (StringType, BinaryType)) else 8 * F.size(c)
+        return F.coalesce(one, F.lit(0)) + 16
+    return F.lit(16)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint only if a count shows that it has few rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df with a broadcast hint only if a count shows that it has few rows, and few bytes in them."""
+    size = sum((_bytes(f) for f in df.schema.fields), F.lit(0)).cast("long")
+    n, of = df.select(size.alias("size")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).collect()[0]
+    return F.broadcast(df) if n <= rows and of <= BROADCAST_BYTES else df
+
+
+def unused(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores before it as make it clash with no column."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 #: Characters beyond ASCII that lower() might change: upper and title case, and those that Java does not know yet.
-CASED = r"[[\p{IsUppercase}\p{Lt}\p{Cn}]&&[^\x00-\x7F]]"
+CASED = r"[[^\x00-\x7F]&&[\p{IsUppercase}\p{Lt}\p{Cn}]]"
 
 
 def lower_ascii(c: Column) -> Column:

@@ -1,22 +1,25 @@
 """Near-duplicate embeddings: iterative quantisation, multi-index Hamming tables, reranking with the original vectors.
 
 Rotations are learnt by iterative quantisation on a bounded sample; a vector's code is the signs of its rotated
-coordinates, over several rotations. The code's disjoint substrings are the keys of as many tables, so that every pair
-of vectors within a Hamming distance below the number of tables shares a bucket. Vectors of a bucket are compared by
-their cosine in double precision, and a pair is counted in the first table in which its two codes meet.
+coordinates, over several rotations. The code's disjoint substrings are the keys of as many tables: codes that have a
+substring alike share a bucket, and those of a bucket whose Hamming distance over the whole code is within the radius are
+candidates, each pair in the first table in which its codes meet. Only codes are sent to the tables; then the original
+vectors of those that have candidates are sent to where they have them, and the candidates are compared by their cosine in
+double precision.
 
-Equal vectors are one class, which is compared once and weighted by its copies. A bucket of more than ``BLOCK`` classes
-is dealt out as pairs of blocks, each one task's work of bounded size, so that a bucket with a third of all vectors is
-compared whole. Blocks hand on sums of links and a spanning forest, not pairs.
+Equal vectors are one class, told by 128 bits and numbered; a class is compared once and weighted by its copies. A bucket of
+more than ``BLOCK`` classes is dealt out as pairs of blocks, each one task's work of bounded size, so that a bucket with
+a third of all vectors is compared whole. Blocks hand on sums of links and a spanning forest, not pairs.
 
-Links are exact where found; recall is measured in the tests against brute force. Pairs of codes that meet in no table
-are not found: at the threshold's angle of 18 degrees a bit differs with probability 0.1 if the mean is zero. Signs are
-taken of the vectors less their mean, which widens the angle where they have a common direction; so the probability is
-taken from each vector of the sample, and there are as many tables as that needs.
+Links are exact where found; recall is measured in the tests against brute force. Pairs of codes that meet in no table or
+are beyond the radius are not found: at the threshold's angle of 18 degrees a bit differs with probability 0.1 if the mean
+is zero. Signs are taken of the vectors less their mean, which widens the angle where they have a common direction; so the
+probability is taken from each vector of the sample, and there are as many tables, and the radius is as wide, as that needs.
 
 Defined results: null vectors, zero vectors and vectors with null or non-finite components have no links, and each is
 its own component; vectors of different lengths link with nothing of another length; rows that share an id are one
-vector each, with the id's rows all linked by that id in the components; an empty table gives no rows.
+vector each, with links of their own, and all of them are one in the components; a null id links with nothing (component
+and kept null); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,12 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import picked, saved
+from .common import picked, saved, small
 from .components import components, forest, grouped
 
 THRESHOLD, SAMPLE, ROUNDS, SEED, BLOCK = 0.95, 10_000, 30, 5, 2048
 #: Expected classes to a bucket, from which the substrings' length follows, and tables for a recall of about 0.99.
 BUCKET = 16
+#: Share of the pairs at the threshold that are beyond the radius; bits whose flips hang together count as fewer.
+BEYOND, EFFECTIVE = 0.001, 0.5
+#: Rows of two numbers up to which a table is broadcast.
+IDS = 500_000
 
 
 def learn_rotations(x: np.ndarray, bits: int, count: int, rounds: int = ROUNDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -91,96 +98,150 @@ def tables_for(classes: int, flip: float | np.ndarray = math.acos(THRESHOLD) / m
     return bits, tables(bits)
 
 
-def link_counts(vectors: np.ndarray, keys: np.ndarray, weight: np.ndarray, table: int, threshold: float, left: np.ndarray | None = None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """Sums of the weights of the linked classes, and the linked pairs' forest. left: a mask of one block; only pairs across are compared."""
-    n = len(vectors)
-    links = np.zeros(n)
-    a = np.flatnonzero(left) if left is not None else np.arange(n)
+def radius_for(bits: int, flip: float | np.ndarray) -> int:
+    """The Hamming distance within which pairs at the threshold are, but one in a thousand; flips of a rotation's bits are not independent, so the spread is that of fewer bits."""
+    flip = np.atleast_1d(flip)
+    wide = flip * bits + 3.1 * np.sqrt(flip * (1 - flip) * bits / EFFECTIVE)
+    return int(min(bits, math.ceil(np.quantile(wide, 1 - BEYOND))))
+
+
+def candidates(codes: np.ndarray, masks: np.ndarray, table: int, radius: int, left: np.ndarray | None = None, strip: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j), by strips: the pairs of codes within the radius that meet in no table before this one. left: a mask of one block; only pairs across are looked at."""
+    a = np.flatnonzero(left) if left is not None else np.arange(len(codes))
     b = np.flatnonzero(~left) if left is not None else a
-    roots, ends = [], []
-    for at in range(0, len(a), 512):
-        part = a[at : at + 512]
-        i, j = np.nonzero(vectors[part] @ vectors[b].T >= threshold)
+    for at in range(0, len(a), strip):
+        part = a[at : at + strip]
+        apart = np.zeros((len(part), len(b)), np.int32)
+        for w in range(codes.shape[1]):
+            apart += np.bitwise_count(codes[part, w][:, None] ^ codes[b, w][None, :])
+        i, j = np.nonzero(apart <= radius)
         i, j = part[i], b[j]
         if left is None:
             i, j = i[i < j], j[i < j]
-        if table:
-            first = ~(keys[i, :table] == keys[j, :table]).any(axis=1)
+        for u in range(table):
+            first = (((codes[i] ^ codes[j]) & masks[u]) != 0).any(axis=1)
             i, j = i[first], j[first]
+        yield i, j
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1, without an overflow."""
+    v = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def link_counts(vectors: np.ndarray, weight: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], threshold: float) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Sums of the weights of the linked classes, and the linked pairs' forest, of candidates among unit vectors."""
+    n = len(vectors)
+    links, roots, ends = np.zeros(n), [np.zeros(0, int)], [np.zeros(0, int)]
+    for i, j in pairs:
+        a, of_a = np.unique(i, return_inverse=True)
+        b, of_b = np.unique(j, return_inverse=True)
+        if len(a) * len(b) <= 8 * len(i):  # most of a strip: one product
+            cosine = (vectors[a] @ vectors[b].T)[of_a, of_b]
+        else:
+            cosine = np.einsum("ij,ij->i", vectors[i], vectors[j])
+        i, j = i[cosine >= threshold], j[cosine >= threshold]
         links += np.bincount(i, weights=weight[j], minlength=n) + np.bincount(j, weights=weight[i], minlength=n)
         root = forest(n, (i, j))
         moved = np.flatnonzero(root != np.arange(n))
         roots.append(moved)
         ends.append(root[moved])
-    return links, (np.concatenate(roots) if roots else np.zeros(0, int), np.concatenate(ends) if ends else np.zeros(0, int))
+    return links, (np.concatenate(roots), np.concatenate(ends))
 
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of vectors."""
-    spark = vectors.sparkSession
-    rows = picked(vectors, {"vec_id": vec_id, "embedding": embedding}).withColumn("embedding", F.col("embedding").cast("array<double>"))
-    sound = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    good = rows.where(sound).where("vec_id is not null")
-    classes = saved(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").cast("long").alias("weight")).withColumn("dim", F.size("embedding")), "classes")
-    edges, sums = None, None
-    for dim, many in sorted((r[0], r[1]) for r in classes.groupBy("dim").count().collect()):
-        mine = classes.where(F.col("dim") == dim)
-        got = mine.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").toArrow()
-        x = np.array(got["embedding"].to_pylist(), dtype=float).reshape(-1, dim)
-        x /= np.abs(x).max(axis=1, keepdims=True)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        bits, tables = tables_for(many, flips(x, x.mean(axis=0), threshold))
-        per = max(1, dim // bits) if dim >= bits else 1
-        mean, rotation = learn_rotations(x, dim, math.ceil(tables * bits / max(dim, 1)) if dim < bits else math.ceil(tables / per))
-        powers = 1 << np.arange(bits, dtype=np.int64)
-        used = min(bits, dim)
-
-        def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                v = np.array(batch.column(2).flatten().to_numpy(), dtype=float).reshape(-1, dim)
-                v = v / np.abs(v).max(axis=1, keepdims=True)
-                v /= np.linalg.norm(v, axis=1, keepdims=True)
-                signs = (v - mean) @ rotation >= 0
-                if dim >= bits:
-                    cols = [k * dim + p * bits + np.arange(bits) for k in range(signs.shape[1] // dim) for p in range(per)][:tables]
-                else:
-                    cols = [np.arange(t * bits, (t + 1) * bits) % signs.shape[1] for t in range(tables)]
-                keys = np.column_stack([signs[:, c] @ powers[: len(c)] for c in cols]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(v), pa.list_(pa.float64())), pa.array(list(keys), pa.list_(pa.int64()))], ["rep", "weight", "v", "keys"])
-
-        codes = saved(mine.select("rep", "weight", "embedding").mapInArrow(coded, "rep long, weight long, v array<double>, keys array<long>"), "codes")
-        each = codes.select("rep", F.posexplode("keys").alias("table", "key"))
-        # only buckets of two classes or more are met; the larger are dealt out as pairs of blocks
-        counts = each.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
-        dealt = F.ceil(F.col("n") / block).cast("int")
-        own = F.pmod(F.xxhash64("rep"), dealt).cast("int")
-        met = each.join(counts, ["table", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), dealt - 1)))
-        met = met.select("rep", "table", "key", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-        met = met.join(codes, "rep")
-
-        def compare(group: pa.Table) -> Iterator[pa.RecordBatch]:
-            v = group["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
-            keys = group["keys"].combine_chunks().flatten().to_numpy().reshape(len(v), -1)
-            weight, rep = group["weight"].to_numpy().astype(float), group["rep"].to_numpy()
-            x, y = group["x"][0].as_py(), group["y"][0].as_py()
-            left = group["own"].to_numpy() == x if x != y else None
-            links, (a, b) = link_counts(v, keys, weight, group["table"][0].as_py(), threshold, left)
-            some = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(links[some].astype(np.int64)), pa.array([None] * len(some), pa.int64())], ["rep", "links", "to"])
-            yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array([None] * len(a), pa.int64()), pa.array(rep[b])], ["rep", "links", "to"])
-
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
-        found = saved(grouped(met, ["table", "key", "x", "y"], parts, compare, "rep long, links long, to long"), "links")
-        mine_edges, mine_sums = found.where("to is not null").select(F.col("rep").alias("a"), F.col("to").alias("b")), found.where("links is not null").groupBy("rep").agg(F.sum("links").alias("links"))
-        edges, sums = (mine_edges, mine_sums) if edges is None else (edges.union(mine_edges), sums.union(mine_sums))
-    alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    if edges is None:
-        return alone.withColumn("kept", F.col("vec_id") == F.col("component_id"))
-    comp = components(edges)
-    facts = classes.join(sums.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(comp, F.col("rep") == F.col("id"), "left")
-    facts = facts.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = good.join(facts, "embedding").select("vec_id", "n_links", "component_id")
-    rest = rows.where(~sound | F.col("vec_id").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    rows = picked(vectors, {"vec_id": vec_id, "embedding": embedding})
+    sound = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
+    when = lambda c: F.when(F.col("sound"), c)
+    rows = saved(rows.withColumn("sound", sound).select("vec_id", "sound", F.monotonically_increasing_id().alias("row"), when(F.xxhash64("embedding")).alias("high"), when(F.xxhash64(F.lit(1), "embedding")).alias("low"), "embedding"), "rows")
+    same = ["high", "low"]
+    # a class is named by its first row, whose vector it has
+    classes = saved(rows.where("sound").groupBy(*same).agg(F.min("row").alias("id"), F.min("vec_id").alias("rep"), F.count("*").cast("long").alias("weight")), "classes")
+    own = saved(rows.join(small(classes.select(F.col("id").alias("row"), "weight"), IDS), "row").select(F.col("row").alias("id"), "weight", F.size("embedding").alias("dim"), "embedding"), "vectors")
+    found = None
+    for dim, many in sorted((r[0], r[1]) for r in own.groupBy("dim").count().collect()):
+        some = _links(own.where(F.col("dim") == dim).drop("dim"), dim, many, threshold, sample, block)
+        found = some if found is None else found.union(some)
+    if found is None:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), (F.col("vec_id") == F.col("vec_id")).alias("kept"))
+    edges = found.where("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b"))
+    # classes that hold rows of one id are one in the components
+    of_row = rows.where("sound").select("vec_id", *same).groupBy("vec_id", *same).agg(F.lit(1).alias("one")).drop("one")
+    shared = of_row.groupBy("vec_id").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    held = saved(of_row.join(small(saved(shared, "shared"), IDS), "vec_id").join(classes, same).select("vec_id", "id"), "held")
+    edges = edges.union(held.join(held.groupBy("vec_id").agg(F.min("id").alias("b")), "vec_id").select(F.col("id").alias("a"), "b"))
+    comp = saved(components(edges), "components")
+    sums = found.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
+    facts = classes.join(sums, "id", "left").join(small(comp, IDS), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    facts = saved(facts, "facts")
+    facts = facts.join(facts.groupBy("component").agg(F.min("rep").alias("component_id")), "component")
+    facts = facts.select(*same, (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), "component_id")
+    out = rows.join(facts, same, "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def _links(own: DataFrame, dim: int, many: int, threshold: float, sample: int, block: int) -> DataFrame:
+    """id, links, to: sums of links (to is null) and edges (links is null) among classes (id, weight, embedding) of one length."""
+    got = own.orderBy(F.xxhash64("embedding"), "id").limit(sample).select("embedding").toArrow()
+    x = unit(np.array(got["embedding"].to_pylist(), dtype=float).reshape(-1, dim))
+    flip = flips(x, x.mean(axis=0), threshold)
+    bits, tables = tables_for(many, flip)
+    per = max(1, dim // bits) if dim >= bits else 1
+    mean, rotation = learn_rotations(x, dim, math.ceil(tables * bits / max(dim, 1)) if dim < bits else math.ceil(tables / per))
+    if dim >= bits:
+        cols = np.concatenate([k * dim + p * bits + np.arange(bits) for k in range(rotation.shape[1] // dim) for p in range(per)][:tables])
+    else:
+        cols = np.arange(tables * bits) % rotation.shape[1]
+    # the code is the tables' keys, one after the other
+    width = -(-len(cols) // 64)
+    powers = 1 << np.arange(bits, dtype=np.int64)
+    masks = np.zeros((tables, width * 64), np.uint8)
+    for t in range(tables):
+        masks[t, t * bits : (t + 1) * bits] = 1
+    masks = np.packbits(masks, axis=1, bitorder="little").view("<u8")
+    radius = radius_for(len(cols), flip)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = unit(batch.column(1).flatten().to_numpy().astype(float).reshape(-1, dim))
+            signs = ((v - mean) @ rotation >= 0)[:, cols]
+            keys = signs.reshape(len(v), tables, bits) @ powers
+            code = np.packbits(np.pad(signs, ((0, 0), (0, width * 64 - len(cols)))), axis=1, bitorder="little")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(list(keys.astype(np.int64)), pa.list_(pa.int64()))], ["id", "code", "keys"])
+
+    codes = saved(own.select("id", "embedding").mapInArrow(coded, "id long, code binary, keys array<long>"), "codes")
+    each = codes.select("id", "code", F.posexplode("keys").alias("table", "key"))
+    # only buckets of two classes or more are met; the larger are dealt out as pairs of blocks
+    counts = saved(each.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    dealt = F.ceil(F.col("n") / block).cast("int")
+    met = each.join(small(counts), ["table", "key"]).withColumn("own", F.pmod(F.xxhash64("id"), dealt).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), dealt - 1)))
+    met = met.select("id", "code", "table", "key", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    at = ["table", "key", "x", "y"]
+
+    def pairs_of(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        code = np.frombuffer(b"".join(group["code"].to_pylist()), "<u8").reshape(group.num_rows, width)
+        x, y = group["x"][0].as_py(), group["y"][0].as_py()
+        return candidates(code, masks, group["table"][0].as_py(), radius, group["own"].to_numpy() == x if x != y else None)
+
+    def active(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        some = np.zeros(group.num_rows, bool)
+        for i, j in pairs_of(group):
+            some[i] = some[j] = True
+        if some.any():
+            yield from group.filter(pa.array(some)).combine_chunks().to_batches()
+
+    def compare(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        v = unit(group["embedding"].combine_chunks().flatten().to_numpy().astype(float).reshape(-1, dim))
+        ids = group["id"].to_numpy()
+        links, (a, b) = link_counts(v, group["weight"].to_numpy().astype(float), pairs_of(group), threshold)
+        some = np.flatnonzero(links)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array([None] * len(some), pa.int64())], ["id", "links", "to"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array([None] * len(a), pa.int64()), pa.array(ids[b])], ["id", "links", "to"])
+
+    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    near = saved(grouped(met, at, parts, active, met.schema), "active")
+    return saved(grouped(near.join(own, "id"), at, parts, compare, "id long, links long, to long"), "links")

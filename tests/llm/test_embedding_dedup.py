@@ -70,3 +70,31 @@ def test_recall_with_a_common_mean(spark):
     exact = unit(both.astype(np.float32).astype(float))
     want = int((exact @ exact.T >= 0.95).sum()) - len(both)
     assert 0.97 * want <= sum(r["n_links"] for r in got) <= want
+
+
+def test_one_id_for_two_vectors(spark):
+    """Vector 1 is at A and at B, vector 2 near A, vector 3 near B and vector 4 near nothing."""
+    rng = np.random.default_rng(1)
+    a, b, c = rng.standard_normal((3, 64))
+    rows = [(1, a), (1, b), (2, a + 1e-3), (3, b + 1e-3), (4, c), (None, a)]
+    got = near_duplicates(spark.createDataFrame([(i, v.tolist(), "", 0) for i, v in rows], VEC)).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"]) for r in got) == [(0, 0, None), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
+    alone = near_duplicates(spark.createDataFrame([(i, v.tolist(), "", 0) for i, v in rows[:3]], VEC)).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in alone) == [(1, 0, 1), (1, 1, 1), (2, 1, 1)]
+
+
+def test_recall_on_the_test_table(spark):
+    """Recall of links against brute force: all vectors of sf0.1, of which no two are near, and a copy of each turned by up to the threshold's angle."""
+    rng = np.random.default_rng(4)
+    got = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    rows = [r for r in got if r["embedding"] is not None and all(x is not None and math.isfinite(x) for x in r["embedding"]) and any(r["embedding"])]
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    v = unit(np.array([r["embedding"] for r in rows], float))
+    off = rng.standard_normal(v.shape)
+    off = unit(off - (off * v).sum(axis=1, keepdims=True) * v)
+    c = rng.uniform(0.94, 1, (len(v), 1))
+    both = np.concatenate([v, c * v + np.sqrt(1 - c**2) * off]).astype(np.float32)
+    found = near_duplicates(spark.createDataFrame([(i, x.tolist(), "", 0) for i, x in enumerate(both)], VEC)).agg({"n_links": "sum"}).collect()[0][0]
+    exact = unit(both.astype(float))
+    want = sum(int((exact[at : at + 1000] @ exact.T >= 0.95).sum()) for at in range(0, len(exact), 1000)) - len(exact)
+    assert want > len(v) and 0.98 * want <= found <= want, found / want
