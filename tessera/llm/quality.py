@@ -89,8 +89,9 @@ def train(rows: DataFrame, **more) -> Ranker:
             for a, b, x in quality_features(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([batch.column(1)[a:b], batch.column(2)[a:b], pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
-    got = rows.select("text", "doc_id", "label").mapInArrow(work, "doc_id long, label int, x array<double>").toArrow().sort_by([("doc_id", "ascending")])
-    x = np.array(got["x"].to_pylist(), dtype=float).reshape(got.num_rows, -1)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    got = rows.select("text", "doc_id", "label").mapInArrow(work, f"doc_id {kind}, label int, x array<double>").toArrow().sort_by([("doc_id", "ascending")])
+    x = np.array(got["x"].to_pylist(), dtype=float).reshape(got.num_rows, len(QUALITY))
     return fit(x, got["label"].to_numpy(), **more)
 
 

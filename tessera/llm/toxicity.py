@@ -153,7 +153,8 @@ def train(rows: DataFrame) -> Model:
             for a, b, x in toxicity_features(batch.column(0), lexicon, stems):
                 yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[1:]), pa.array(list(x), pa.list_(pa.float64()))], [*batch.schema.names[1:], "x"])
 
-    got = rows.where("part >= 3").select("text", "doc_id", "label", "part").mapInArrow(work, "doc_id long, label int, part long, x array<double>").toArrow().sort_by([("doc_id", "ascending")])
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    got = rows.where("part >= 3").select("text", "doc_id", "label", "part").mapInArrow(work, f"doc_id {kind}, label int, part long, x array<double>").toArrow().sort_by([("doc_id", "ascending")])
     x = np.array(got["x"].to_pylist(), dtype=float).reshape(got.num_rows, len(TOXIC))
     y, part = got["label"].to_numpy().astype(float), got["part"].to_numpy()
     if not len(y) or y.min() == y.max():
