@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -51,13 +52,14 @@ def local_path(uri: str) -> str:
 def saved(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, survives lost executors.
 
-    release: df's shuffle files, which nobody needs any more, go at once and not when the driver happens to collect its garbage.
+    release: the shuffle files of the steps before, which nobody needs any more, go first and not when the driver happens to collect its garbage.
     """
+    if release:
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
-    if release:
-        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

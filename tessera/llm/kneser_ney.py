@@ -26,20 +26,23 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import local_path, picked, saved, scratch
+from .common import dropped, local_path, picked, saved, scratch
 from .textbytes import LOWER, chunks, mix, slice_hashes, words
 
 #: The end token, which no word's hash is made of; flush size of a task's own sums.
 END = np.uint64(0x5851F42D4C957F2D)
 HELD = 400_000
 WORD = np.dtype([("key", "<u8"), ("count", "<i8"), ("prob", "<f8"), ("total", "<f8"), ("backoff", "<f8")])
-PAIR = np.dtype([("key", "<u8"), ("count", "<u4")])
+PAIR = np.dtype([("key", "<u8"), ("count", "<i8")])
+#: Files of a model that a worker keeps open.
+OPEN = 4096
 
 
 def tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -99,6 +102,12 @@ def summed(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return v[first], w[first], n
 
 
+@lru_cache(OPEN)
+def _mapped(path: str, kind: np.dtype) -> np.ndarray | None:
+    """A file of a finished model; None where a shard has no key."""
+    return np.memmap(path, dtype=kind, mode="r") if os.path.exists(path) else None
+
+
 @dataclass
 class Shards:
     """Sorted arrays in files of one folder, by the key's top bits."""
@@ -117,10 +126,9 @@ class Shards:
         shard = (kinds >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(kinds), np.int64)
         bounds = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
         for a, b in zip(bounds[:-1], bounds[1:]):
-            path = os.path.join(self.folder, f"{int(shard[a]):06d}")
-            if not os.path.exists(path):
+            table = _mapped(os.path.join(self.folder, f"{int(shard[a]):06d}"), self.kind)
+            if table is None:
                 continue
-            table = np.memmap(path, dtype=self.kind, mode="r")
             at = np.minimum(np.searchsorted(table["key"], kinds[a:b]), len(table) - 1)
             got = table[at]
             hit = got["key"] == kinds[a:b]
@@ -218,7 +226,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     right = pairs.groupBy(F.col("w").alias("key")).agg(F.sum("n").alias("count"), F.count("*").alias("left"))
     cut = sum(F.when(F.col("n") == i if i < 3 else F.col("n") >= 3, d[i]).otherwise(0.0) for i in (1, 2, 3))
     context = pairs.groupBy(F.col("v").alias("key")).agg(F.sum("n").cast("double").alias("total"), F.sum(cut).alias("cut"))
-    right = saved(right.join(context, "key", "left"), "words")
+    right = saved(right.join(context, "key", "left"), "words", release=True)
     kinds = [F.sum((F.col("left") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]
     low = right.agg(F.count("*").alias("v"), F.coalesce(F.sum("left"), F.lit(0)).alias("total"), F.sum((F.col("left") >= 3).cast("long")).alias("n3p"), *kinds).collect()[0]
     e = discounts([low[f"n{i}"] or 0 for i in (1, 2, 3, 4)])
@@ -229,7 +237,10 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     prob = F.greatest(F.col("left") - less, F.lit(0.0)) / float(total) + float(unknown)
     table = right.select("key", "count", prob.alias("prob"), F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce(F.col("cut") / F.col("total"), F.lit(0.0)).alias("backoff"))
     keyed = pairs.mapInArrow(_keyed, "key long, count long")
-    return Model(shards(table, WORD, v, "kn-words"), shards(keyed, PAIR, top["kinds"], "kn-pairs"), d, int(top["tokens"]), int(v), float(unknown))
+    model = Model(shards(table, WORD, v, "kn-words"), shards(keyed, PAIR, top["kinds"], "kn-pairs"), d, int(top["tokens"]), int(v), float(unknown))
+    dropped(right)
+    dropped(pairs)
+    return model
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
