@@ -4,7 +4,8 @@ Two lines are linked if at most ``EDITS`` insertions, deletions or substitutions
 line is cut into EDITS + 1 segments; of two linked lines the longer holds one of the shorter's segments whole, at a
 place that the lengths and the segment's number confine. So every line is indexed by its segments and probed by the
 substrings of those places for each length from its own down by EDITS, and the two meet by (length, segment,
-substring). Only keys that two distinct lines share go on.
+substring). Only keys that two distinct lines share go on; the index is counted by partial sums, so the join has one row a key
+on its side.
 
 Candidates are verified by a bit-parallel edit distance over the band of 2 EDITS + 1 diagonals: one word holds the
 band's states for each number of errors, and a character of the line is one step. The lines' common beginning and
@@ -27,15 +28,17 @@ give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .common import lower_ascii, picked, saved, small
+from .common import let, lower_ascii, picked, saved, small, unused
 from .components import components
 
 EDITS, LEAST, CROWD = 2, 20, 64
-LAST = (1 << 63) - 1
+#: Characters after which a pair is given up if the band is empty.
+FIRST = 8
 #: Ids up to which a table of single numbers is broadcast.
 IDS = 1_000_000
 
@@ -60,69 +63,86 @@ def places(edits: int) -> list[tuple[int, int, int]]:
     return [(d, i, s) for d in range(edits + 1) for i in range(edits + 1) for s in range(-edits, edits + 1) if abs(s) <= i and abs(d - s) <= edits - i]
 
 
-def keys(distinct: DataFrame, edits: int) -> DataFrame:
-    """key, id, indexed: of each distinct line (id, line, size) the probes; a line's own segments are also its index.
+def keys(distinct: DataFrame, edits: int, own: bool = False) -> DataFrame:
+    """key, id, indexed: of each distinct line (id, line, size) the probes; a line's own segments are also its index. own: these alone.
 
-    One small expression for all places, over rows of a constant array: a sum of all written out would be too long to be compiled.
+    One small expression for all places, over rows of a constant array: a sum of all written out would be too long to be
+    compiled. Substrings are taken from four bytes a character, where a place is found without counting up to it.
     """
-    at = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for d, i, s in places(edits)])
-    rows = distinct.select("id", "line", "size", F.explode(at).alias("at")).select("id", "line", "size", (F.col("size") - F.col("at.d")).alias("of"), F.col("at.i").alias("i"), F.col("at.s").alias("s"))
+    at = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for d, i, s in places(edits) if not own or d == s == 0])
+    rows = distinct.select("id", F.encode("line", "UTF-32").alias("wide"), "size").select("id", "wide", "size", F.explode(at).alias("at"))
+    rows = rows.select("id", "wide", "size", (F.col("size") - F.col("at.d")).alias("of"), F.col("at.i").alias("i"), F.col("at.s").alias("s"))
     start, length = segment(F.col("of"), F.col("i"), edits)
-    rows = rows.select("id", "line", "size", "of", "i", "s", start.alias("start"), length.alias("length"))
+    rows = rows.select("id", "wide", "size", "of", "i", "s", start.alias("start"), length.alias("length"))
     first = F.col("start") + F.col("s")
     rows = rows.where((first >= 1) & (first + F.col("length") - 1 <= F.col("size")) & (F.col("of") > edits))
-    return rows.select("id", F.xxhash64("of", "i", F.col("line").substr(first, F.col("length"))).alias("key"), ((F.col("of") == F.col("size")) & (F.col("s") == 0)).alias("indexed"))
+    part = F.substring("wide", (first - 1) * 4 + 1, F.col("length") * 4)
+    return rows.select("id", F.xxhash64("of", "i", part).alias("key"), ((F.col("of") == F.col("size")) & (F.col("s") == 0)).alias("indexed"))
 
 
 def within(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
     """pairs with a column linked: whether a and b are at most `edits` apart.
 
     Bit o of lane e is set if the cell on diagonal o of the band is reached with e errors. On a character, a match keeps the
-    diagonal; with one error more, a substitution keeps it, an insertion goes one down and a deletion one up. Each step
-    is written out before the next is made of it: the optimiser would else repeat it for every character.
+    diagonal; with one error more, a substitution keeps it, an insertion goes one down and a deletion one up. When
+    no bit is set after the first ``FIRST`` characters, as for most lines that share but a segment, the rest is left out.
     """
     width = 2 * edits + 1
-    full = (1 << width) - 1
-    other = lambda x, y: F.array_position(F.zip_with(F.split(x, ""), F.split(y, ""), lambda p, q: ~p.eqNullSafe(q)), True).cast("int")
-    x, y = F.col(a), F.col(b)
-    cut = pairs.withColumn("_p", other(x, y)).withColumn("_q", other(F.reverse(x), F.reverse(y)))
-    least = F.least(F.length(x), F.length(y))
-    head = F.when(F.col("_p") == 0, least).otherwise(F.col("_p") - 1)
-    tail = F.least(F.when(F.col("_q") == 0, least).otherwise(F.col("_q") - 1), least - head)
-    cut = cut.withColumn("_h", head).withColumn("_t", tail)
-    middle = lambda c: F.split(c.substr(F.col("_h") + 1, F.length(c) - F.col("_h") - F.col("_t")), "")
-    cut = saved(cut.withColumn("_a", middle(x)).withColumn("_b", middle(y)).drop("_p", "_q", "_h", "_t"), "middles")
-    size = lambda c: F.when(F.array_join(c, "") == "", 0).otherwise(F.size(c))
-    cut = cut.withColumn("_m", size(F.col("_a"))).withColumn("_n", size(F.col("_b")))
-    match = F.transform(
-        F.when(F.col("_n") > 0, F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(F.array().cast("array<int>")),
-        lambda j: sum(F.when((j + (o - edits) < F.col("_m")) & F.get(F.col("_a"), j + (o - edits)).eqNullSafe(F.get(F.col("_b"), j)), 1 << o).otherwise(0) for o in range(width)),
-    )
-    cut = saved(cut.withColumn("_match", match).drop("_a", "_b"), "matches")
-    start = sum(((1 << (e + 1)) - 1) << edits << (e * width) for e in range(edits + 1))
-
-    def step(acc: Column, m: Column) -> Column:
-        lane = [F.shiftright(acc, e * width).bitwiseAND(F.lit(full).cast("long")) for e in range(edits + 1)]
-        now = [lane[0].bitwiseAND(m)]
+    full = F.lit((1 << width) - 1).cast("long")
+    start = F.lit(sum(((1 << (e + 1)) - 1) << edits << (e * width) for e in range(edits + 1))).cast("long")
+
+    def step(state: Column, match: Column) -> Column:
+        lane = [F.shiftright(state, e * width).bitwiseAND(full) for e in range(edits + 1)]
+        now = [lane[0].bitwiseAND(match)]
         for e in range(1, edits + 1):
-            now.append(lane[e].bitwiseAND(m).bitwiseOR(lane[e - 1]).bitwiseOR(F.shiftright(lane[e - 1], 1)).bitwiseOR(F.shiftleft(now[e - 1], 1).bitwiseAND(F.lit(full).cast("long"))))
+            now.append(lane[e].bitwiseAND(match).bitwiseOR(lane[e - 1]).bitwiseOR(F.shiftright(lane[e - 1], 1)).bitwiseOR(F.shiftleft(now[e - 1], 1).bitwiseAND(full)))
         out = now[0]
         for e in range(1, edits + 1):
             out = out.bitwiseOR(F.shiftleft(now[e], e * width))
         return out
 
-    end = F.aggregate(F.transform("_match", lambda m: m.cast("long")), F.lit(start).cast("long"), step)
-    ends = F.getbit(end, F.lit(edits * width + edits) + F.col("_m") - F.col("_n")) == 1
-    close = F.abs(F.col("_m") - F.col("_n")) <= edits
-    return saved(cut.withColumn("linked", F.when(close, ends).otherwise(False)).drop("_m", "_n", "_match"), "verified")
+    # characters are four bytes each, so that a place is found without counting up to it
+    part = lambda c, at, n: F.substring(c, at * 4 + 1, n * 4)
+
+    def apart(x: Column, y: Column, m: Column, n: Column, head: Column) -> Column:
+        """The m and n characters of x and y from head on."""
+
+        def columns(first: Column, last: Column) -> Column:
+            """The bits of the diagonals on which the characters match, for columns from first up to last."""
+            at = F.when(last > first, F.sequence(first, last - 1)).otherwise(F.array().cast("array<int>"))
+            one = lambda j, o: F.when((j + (o - edits) < m) & (j + (o - edits) >= 0) & (part(x, head + j + (o - edits), F.lit(1)) == part(y, head + j, F.lit(1))), F.lit(1 << o).cast("long")).otherwise(F.lit(0).cast("long"))
+            return F.transform(at, lambda j: sum((one(j, o) for o in range(1, width)), one(j, 0)))
+
+        ends = lambda state: F.getbit(state, F.lit(edits * width + edits) + m - n) == 1
+        whole = lambda state: F.when(n <= FIRST, ends(state)).when(state == 0, False).otherwise(ends(F.aggregate(columns(F.lit(FIRST), n), state, step)))
+        return F.when(F.abs(m - n) > edits, False).otherwise(let(F.aggregate(columns(F.lit(0), F.least(n, F.lit(FIRST))), start, step), whole))
+
+    powers = F.array(*[F.lit(1 << k) for k in range(24, -1, -1)])
+
+    def alike(most: Column, equal: Callable[[Column, Column], Column]) -> Column:
+        """The largest number up to most so that equal(from, further) holds all the way, by halving."""
+        return F.aggregate(powers, F.lit(0), lambda at, p: F.when((at + p <= most) & equal(at, p), at + p).otherwise(at))
+
+    def linked(x: Column, y: Column) -> Column:
+        m, n = (F.octet_length(x) / 4).cast("int"), (F.octet_length(y) / 4).cast("int")
+        least = F.least(m, n)
+        first = alike(least, lambda at, p: part(x, at, p) == part(y, at, p))
+        last = lambda head: alike(least - head, lambda at, p: part(x, m - at - p, p) == part(y, n - at - p, p))
+        return let(first, lambda head: let(last(head), lambda tail: apart(x, y, m - head - tail, n - head - tail, head)))
+
+    wide = lambda c: F.encode(F.col(c), "UTF-32")
+    return pairs.withColumn("linked", let(wide(a), lambda x: let(wide(b), lambda y: linked(x, y))))
 
 
 def links(distinct: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFrame:
     """a, b: the linked lines of a table of distinct lines (id, line, size), but those that a chain of others links."""
-    k = keys(distinct, edits).repartition("key")
-    w = Window.partitionBy("key")
-    k = k.select("key", "id", "indexed", F.min("id").over(w).alias("pivot"), F.max("id").over(w).alias("last"), F.count("*").over(w).alias("c"))
-    k = saved(k.where("pivot != last").drop("last"), "keys")
+    # a probe goes on if its key is in the index of another line; nothing but counts is made of all the index
+    index = keys(distinct, edits, own=True).groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    met = saved(keys(distinct, edits).join(index, "key").where("id != low or id != high"), "met", release=True)
+    alone = met.where("low = high").groupBy("key", F.col("low").alias("id")).agg(F.lit(True).alias("indexed"))
+    k = met.select("key", "id", "indexed").unionByName(alone)
+    sizes = saved(k.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("c")), "sizes")
+    k = saved(k.join(small(sizes, IDS), "key").select("key", "id", "indexed", "pivot", "c").repartition("key"), "keys")
     few, many = k.where(F.col("c") <= crowd), k.where(F.col("c") > crowd).select("key", "id", "indexed", "pivot")
 
     def pair(df: DataFrame) -> DataFrame:
@@ -134,7 +154,7 @@ def links(distinct: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFr
         named = small(saved(df.select(F.col("a").alias("id")).union(df.select("b")).groupBy("id").agg(F.lit(1).alias("one")).select("id"), "named"), IDS)
         text = saved(distinct.select("id", "line").join(named, "id", "left_semi"), "texts")
         both = df.join(text.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(text.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
-        return within(both, "line_a", "line_b", edits).where("linked").select("a", "b")
+        return saved(within(both, "line_a", "line_b", edits).where("linked").select("a", "b"), "verified")
 
     met = few.where("indexed").select("key", F.col("id").alias("x")).join(few.select("key", F.col("id").alias("y")), "key").where("x != y")
     met = met.union(many.where("id != pivot").select("key", F.col("pivot").alias("x"), F.col("id").alias("y")))
@@ -152,27 +172,36 @@ def links(distinct: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFr
     return out
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, short: bool = False) -> DataFrame:
-    """All rows and columns of docs with the text's later lines of each class taken out, and n_lines, n_removed (unless docs has them). short: exact copies of lines under `least` go too."""
-    d = docs.withColumn("_row", F.xxhash64(F.col(f"`{text}`")))
-    each = picked(d, {"doc_id": doc_id, "row": "_row", "text": text}).where("text is not null")
-    each = each.select(F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("doc_id"), "row", F.posexplode_outer(F.split("text", "\n", -1)).alias("at", "line"))
-    # lower-casing keeps the length: tested before it, lines are lower-cased once
-    each = each.where(F.length(trimmed(F.col("line"))) >= (1 if short else least)).withColumn("line", lower_ascii(trimmed(F.col("line"))))
-    at = F.struct("doc_id", "row", "at")
-    found = each.withColumn("id", F.xxhash64("line")).groupBy("id").agg(F.min(at).alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
-    found = saved(found.withColumn("size", F.length("line")), "lines")
-    comp = components(links(found.where(F.col("size") >= least).select("id", "line", "size"), edits))
-    classes = found.select("id", "first", "n").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, short: bool = False, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """All rows and columns of docs with the text's later lines of each class taken out, and two counts (unless docs has such columns). short: exact copies of lines under `least` go too."""
+    row, gone_at, of_id, of_row = unused(docs.columns, "row", "gone", "of_id", "of_row")
+    d = docs.withColumn(row, F.xxhash64(F.col(f"`{text}`")))
+    each = picked(d, {"doc_id": doc_id, "row": row, "text": text}).where("text is not null")
+    # made within the array, so that what follows has a line as it is and doesn't make it anew for each use
+    lines = F.transform(F.split("text", "\n", -1), lambda x: lower_ascii(trimmed(x)))
+    each = each.select("doc_id", "row", F.posexplode_outer(lines).alias("at", "line")).where(F.length("line") >= (1 if short else least))
+    found = each.groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    # numbered, and found again in the texts by 128 bits
+    halves = {"high": F.xxhash64("line"), "low": F.xxhash64(F.lit(1), "line")}
+    found = found.select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("size"), "n", "first", *[c.alias(k) for k, c in halves.items()])
+    found = saved(found, "lines")
+    comp = saved(components(links(found.where(F.col("size") >= least).select("id", "line", "size"), edits)), "components")
+    classes = found.select("id", "first", "n").join(small(comp, IDS), "id", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "id"))
     classes = saved(classes, "classes")
-    stays = classes.groupBy("component").agg(F.min("first").alias("stays"), F.sum("n").alias("all")).where(F.col("all") > 1)
-    stays = small(saved(classes.select("id", "component").join(stays, "component").select("id", "stays"), "stays"))
-    gone = each.select("doc_id", "row", "at", F.xxhash64("line").alias("id")).join(stays, "id").where(F.struct("doc_id", "row", "at") != F.col("stays"))
-    gone = gone.groupBy("doc_id", "row").agg(F.collect_set("at").alias("_gone"))
-    gone = small(saved(gone.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_of"), "_gone"), "gone"))
-    out = d.join(gone, (F.coalesce(F.col(f"`{doc_id}`"), F.lit(LAST)) == F.col("_doc")) & (F.col("_row") == F.col("_of")), "left")
+    stays = classes.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("all")).where(F.col("all") > 1).drop("all")
+    named = saved(classes.select("id", "component").join(stays, "component"), "named")
+    stays = saved(found.select("id", *halves).join(small(named, IDS), "id").select("component", "first", *halves), "stays")
+    hits = each.withColumns(halves).join(small(stays), list(halves)).select("doc_id", "row", "at", "component", "first")
+    hits = saved(hits.repartition("component", "doc_id"), "hits", release=True)
+    # of the occurrences in the first document, the one that comes first stays
+    own = F.col("doc_id").eqNullSafe(F.col("first"))
+    stay = hits.where(own).groupBy("component").agg(F.min(F.struct("row", "at")).alias("stays"))
+    gone = hits.join(small(saved(stay, "firsts"), IDS), "component").where(~own | (F.struct("row", "at") != F.col("stays")))
+    gone = gone.groupBy("doc_id", "row").agg(F.collect_set("at").alias("gone"))
+    gone = small(saved(gone.select(F.col("doc_id").alias(of_id), F.col("row").alias(of_row), F.col("gone").alias(gone_at)), "gone"))
+    out = d.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col(of_id)) & (F.col(row) == F.col(of_row)), "left")
     parts = F.split(F.col(f"`{text}`"), "\n", -1)
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    cols = [F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(left).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    more = {"n_lines": F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(parts)), "n_removed": F.coalesce(F.size("_gone"), F.lit(0))}
-    return out.select(*cols, *[v.cast("long").alias(k) for k, v in more.items() if k not in docs.columns])
+    left = let(parts, lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col(gone_at)), lambda i: F.get(p, i)), "\n"))
+    cols = [F.when(F.col(gone_at).isNull(), F.col(f"`{text}`")).otherwise(left).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    more = F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(parts)), F.coalesce(F.size(gone_at), F.lit(0))
+    return out.select(*cols, *[v.cast("long").alias(k) for k, v in zip(counts, more) if k not in docs.columns])

@@ -112,3 +112,19 @@ def test_exact_copies_of_short_lines(spark):
     out = ld.dedup_lines(spark.createDataFrame([(k, t, None, "x", "y") for k, t in rows], DOC).drop("n_lines"), short=True)
     got = sorted((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in out.collect())
     assert got == [(1, rows[0][1], 4, 0), (2, "And orne.\n", 4, 2), (3, "", 3, 2), (4, None, 0, 0)]
+
+
+def test_ids_of_any_type_and_clashing_columns(spark):
+    line = "a line of more than twenty characters"
+    rows = [("b", "x\n" + line, 7), ("a", line + "\nx", 8), (None, line, 9), ("a", line + "\n" + line, 10)]
+    out = ld.dedup_lines(spark.createDataFrame(rows, "doc_id string, text string, gone long")).collect()
+    assert sorted(((r["doc_id"] or "", r["gone"], r["n_removed"]) for r in out)) in ([("", 9, 1), ("a", 8, 0), ("a", 10, 2), ("b", 7, 1)], [("", 9, 1), ("a", 8, 1), ("a", 10, 1), ("b", 7, 1)])
+
+
+def test_a_hot_text_of_many_lines(spark):
+    """One document whose every line goes, and a crowd of near lines: what is left is exact."""
+    lines = [f"{i:05d} the same long line for all of them here" for i in range(300)]
+    docs = [(1, "\n".join(lines)), (2, "\n".join(lines[::-1])), (3, "another line that has nothing in common")]
+    out = {r["doc_id"]: r for r in ld.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out[2]["n_removed"] == 300 and out[2]["text"] == "" and out[3]["n_removed"] == 0
+    assert out[1]["text"] == brute(docs)[0][1]
