@@ -49,14 +49,31 @@ def local_path(uri: str) -> str:
     return uri
 
 
+def rested(spark: SparkSession) -> None:
+    """Ask the executors' JVMs to hand back the heap that they don't use, so that Python workers fit beside them: a collection each, by a job of as many tasks as cores."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
+def _release(spark: SparkSession) -> None:
+    """Let the driver forget the queries that have ended, by which their shuffle files go, and the executors their garbage.
+
+    The event that ends a query holds its plan, and a listener's thread holds the last event: so an empty query goes after it.
+    """
+    spark.range(0).limit(0).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    gc.collect()
+    spark._jvm.System.gc()
+    rested(spark)
+
+
 def saved(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, survives lost executors.
 
     release: the shuffle files of the steps before, which nobody needs any more, go first and not when the driver happens to collect its garbage.
     """
     if release:
-        gc.collect()
-        df.sparkSession._jvm.System.gc()
+        _release(df.sparkSession)
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
