@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import fold, picked
+from .common import fold, picked, unused
 
 #: N-grams in a profile, and of a document that are ranked.
 PROFILE = 400
@@ -107,8 +108,11 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", profile: int
     return {k: [g for _, g in sorted(v)] for k, v in sorted(found.items())}
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], doc_id: str = "doc_id", text: str = "text", profile: int = PROFILE, more: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score and the columns named in more, one row per row of docs, without a shuffle."""
+def predict(
+    docs: DataFrame, profiles: dict[str, list[int]], doc_id: str = "doc_id", text: str = "text", profile: int = PROFILE, more: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """One row per row of docs, without a shuffle: doc_id, or else the columns named in more, and the prediction and its score under these names."""
+    out_names = names
     names = list(profiles)
     known = np.unique(np.concatenate([np.array(p, dtype=np.uint64) for p in profiles.values()])) if names else np.zeros(0, np.uint64)
     ranks = np.full((len(names), len(known) + 1), profile, dtype=np.int32)
@@ -133,15 +137,17 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], doc_id: str = "doc_
                 k = int(apart.argmin())
                 langs.append(names[k])
                 scores.append(1.0 - float(apart[k]) / (profile * len(own)))
-            first = 0 if text in more else 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[first:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*given, "lang_pred", "score"])
-
-    rows = picked(docs, {"_text": text, "doc_id": doc_id} | {c: c for c in more if c != text})
-    fields = [(f.name, f.dataType.simpleString()) for f in rows.schema.fields]
-    fields = [(text, fields[0][1]), *fields[1:]] if text in more else fields[1:]
-    given = [name for name, _ in fields]
-    schema = ", ".join(f"`{name}` {kind}" for name, kind in fields)
-    return rows.mapInArrow(work, f"{schema}, lang_pred string, score double")
+            kept = [batch.column(0), *batch.columns[1:]] if whole else batch.columns[1:]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*given, *out_names])
+
+    # the text goes to the workers once
+    keep = {c: c for c in more} if more else {"doc_id": doc_id}
+    whole = text in keep
+    given = [text, *(c for c in keep if c != text)] if whole else list(keep)
+    first = text if whole else unused([*keep, *out_names], "text")[0]
+    rows = picked(docs, {first: text} | {c: keep[c] for c in given if c != first})
+    schema = StructType([*(StructField(c, rows.schema[c].dataType) for c in given), StructField(out_names[0], StringType()), StructField(out_names[1], DoubleType())])
+    return rows.mapInArrow(work, schema)
 
 
 def trained_on(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:

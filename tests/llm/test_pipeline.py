@@ -62,3 +62,24 @@ def test_line_dedup_takes_copies_of_short_lines(spark):
     rows = [(1, "And ornd.\nthe first document", "en", "s", 28), (2, "And ornd.\nthe second one", "en", "s", 24)]
     out = cp.line_dedup(spark, spark.createDataFrame(rows, DOC), "")
     assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()) == [(1, rows[0][1], 28), (2, "the second one", 14)]
+
+
+CLASH = ["_row", "_gone", "_doc", "_of", "_text", "score", "lang_pred", "n_removed", "n_lines", "row", "gone", "component_id", "sig", "line", "hash"]
+
+
+def test_stages_with_clashing_columns_null_ids_and_empty_tables(spark, tmp_path):
+    """Other columns have no bearing on a stage and come back as they were; rows without an id are kept or dropped by their text."""
+    rows, bench = corpus()
+    rows = rows[:20] + rows[78:] + [(None, "the an er in on st the an er in on", "en", "s", 5), (3, rows[3][1], "en", "s", 1)]
+    at = f"file://{tmp_path}"
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    plain = spark.createDataFrame(rows, DOC)
+    wide = spark.createDataFrame([(*r, *(77 + k for k in range(len(CLASH)))) for r in rows], DOC + "".join(f", {c} long" for c in CLASH))
+    for name, stage in cp.STAGES[:-1]:
+        want, got = stage(spark, plain, at), stage(spark, wide, at)
+        assert got.columns == wide.columns
+        key = lambda r: tuple((x is not None, x) for x in r)
+        assert sorted(map(tuple, got.select(*plain.columns).collect()), key=key) == sorted(map(tuple, want.collect()), key=key), name
+        assert all(r[c] == 77 + k for r in got.collect() for k, c in enumerate(CLASH)), name
+        assert stage(spark, wide.limit(0), at).count() == 0
+    assert cp.packing(spark, wide, at).count() >= len(rows) and cp.packing(spark, plain.limit(0), at).count() == 0
