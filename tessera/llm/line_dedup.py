@@ -178,7 +178,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edi
     d = docs.withColumn(row, F.xxhash64(F.col(f"`{text}`")))
     each = picked(d, {"doc_id": doc_id, "row": row, "text": text}).where("text is not null")
     # made within the array, so that what follows has a line as it is and doesn't make it anew for each use
-    lines = F.transform(F.split("text", "\n", -1), lambda x: lower_ascii(trimmed(x)))
+    lines = F.transform(F.split("text", "\n", -1), lambda x: trimmed(lower_ascii(x)))
     each = each.select("doc_id", "row", F.posexplode_outer(lines).alias("at", "line")).where(F.length("line") >= (1 if short else least))
     found = each.groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
     # numbered, and found again in the texts by 128 bits
@@ -191,7 +191,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edi
     stays = classes.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("all")).where(F.col("all") > 1).drop("all")
     named = saved(classes.select("id", "component").join(stays, "component"), "named")
     stays = saved(found.select("id", *halves).join(small(named, IDS), "id").select("component", "first", *halves), "stays")
-    hits = each.withColumns(halves).join(small(stays), list(halves)).select("doc_id", "row", "at", "component", "first")
+    # one number is the key, which is the faster join, and the other one is compared
+    stays = small(stays.withColumnRenamed("low", "same"))
+    hits = each.withColumns(halves).join(stays, "high").where(F.col("low").bitwiseXOR(F.col("same")) == 0).select("doc_id", "row", "at", "component", "first")
     hits = saved(hits.repartition("component", "doc_id"), "hits", release=True)
     # of the occurrences in the first document, the one that comes first stays
     own = F.col("doc_id").eqNullSafe(F.col("first"))
