@@ -33,7 +33,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, lower_ascii, picked, saved, small, unused
+from .common import let, lower_ascii, picked, saved, sieved, small, unused
 from .components import components
 
 EDITS, LEAST, CROWD = 2, 20, 64
@@ -177,23 +177,25 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edi
     row, gone_at, of_id, of_row = unused(docs.columns, "row", "gone", "of_id", "of_row")
     d = docs.withColumn(row, F.xxhash64(F.col(f"`{text}`")))
     each = picked(d, {"doc_id": doc_id, "row": row, "text": text}).where("text is not null")
+    shortest = F.length("line") >= (1 if short else least)
     # made within the array, so that what follows has a line as it is and doesn't make it anew for each use
-    lines = F.transform(F.split("text", "\n", -1), lambda x: trimmed(lower_ascii(x)))
-    each = each.select("doc_id", "row", F.posexplode_outer(lines).alias("at", "line")).where(F.length("line") >= (1 if short else least))
-    found = each.groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    # numbered, and found again in the texts by 128 bits
-    halves = {"high": F.xxhash64("line"), "low": F.xxhash64(F.lit(1), "line")}
-    found = found.select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("size"), "n", "first", *[c.alias(k) for k, c in halves.items()])
+    split = lambda f: each.select("doc_id", "row", F.posexplode_outer(F.transform(F.split("text", "\n", -1), f)).alias("at", "line")).where(shortest)
+    found = split(lambda x: trimmed(lower_ascii(x))).groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    # numbered, and found again in the texts by 64 bits of the line in lower case, which all copies share, and 64 of the line
+    key, same = F.xxhash64(F.lower("line")), lambda line: F.xxhash64(F.lit(1), line)
+    found = found.select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("size"), "n", "first", key.alias("key"), same(F.col("line")).alias("same"))
     found = saved(found, "lines")
     comp = saved(components(links(found.where(F.col("size") >= least).select("id", "line", "size"), edits)), "components")
     classes = found.select("id", "first", "n").join(small(comp, IDS), "id", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "id"))
     classes = saved(classes, "classes")
     stays = classes.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("all")).where(F.col("all") > 1).drop("all")
     named = saved(classes.select("id", "component").join(stays, "component"), "named")
-    stays = saved(found.select("id", *halves).join(small(named, IDS), "id").select("component", "first", *halves), "stays")
-    # one number is the key, which is the faster join, and the other one is compared
-    stays = small(stays.withColumnRenamed("low", "same"))
-    hits = each.withColumns(halves).join(stays, "high").where(F.col("low").bitwiseXOR(F.col("same")) == 0).select("doc_id", "row", "at", "component", "first")
+    stays = saved(found.select("id", "key", "same").join(small(named, IDS), "id").select("component", "first", "key", "same"), "stays")
+    # the key is made at less cost than the line, which is made of what the key finds
+    again, sent, low = split(trimmed).withColumn("key", key), small(stays), same(lower_ascii(F.col("line")))
+    if sent is stays:
+        again, low = sieved(again, "key", stays.select("key"), "maybe").where("maybe").select("doc_id", "row", "at", "key", low.alias("low")), F.col("low")
+    hits = again.join(sent, "key").where(low.bitwiseXOR(F.col("same")) == 0).select("doc_id", "row", "at", "component", "first")
     hits = saved(hits.repartition("component", "doc_id"), "hits", release=True)
     # of the occurrences in the first document, the one that comes first stays
     own = F.col("doc_id").eqNullSafe(F.col("first"))
